@@ -97,17 +97,17 @@ _ORPHANS = f"""
 WITH d AS (SELECT file_id, table_id, {path('data_file_path')} AS path, min(added_at) AS a, max(removed_at) AS r FROM data_files GROUP BY 1, 2, 3),
 e AS (SELECT file_id, table_id, {path('file_path')} AS path, min(added_at) AS a, max(removed_at) AS r FROM delete_files WHERE {up('content')} = 'EQUALITY_DELETES' GROUP BY 1, 2, 3),
 ed AS (SELECT table_id, {path('file_path')} AS path, max(data_sequence_number) AS dsn, max(added_at) AS added_at FROM delete_files GROUP BY 1, 2),
-c AS (SELECT change_id, table_id, {path('data_file_path')} AS path, changed_at AS at FROM index_changes WHERE data_file_path IS NOT NULL),
-p AS (SELECT plan_id, table_id, {path('x')} AS path, planned_at AS at FROM (SELECT plan_id, table_id, planned_at, unnest(eq_deletes_to_remove) AS x FROM commit_plans) WHERE x IS NOT NULL),
+c AS (SELECT change_id, table_id, {path('data_file_path')} AS path, changed_at AS tm FROM index_changes WHERE data_file_path IS NOT NULL),
+p AS (SELECT plan_id, table_id, {path('x')} AS path, planned_at AS tm FROM (SELECT plan_id, table_id, planned_at, unnest(eq_deletes_to_remove) AS x FROM commit_plans) WHERE x IS NOT NULL),
 s AS (SELECT table_id, spec_id, {pkey()} AS pkey, {hex_('pk')} AS pk, sequence_number AS seq, CASE WHEN {up('file_kind')} = 'DATA' THEN 1 ELSE 0 END AS k, ordinal,
       CASE WHEN {up('op')} IN ('+I', '+U', 'INSERT', 'UPDATE_AFTER') THEN 1 ELSE 0 END AS live FROM index_changes),
 q AS (SELECT row_id, x.table_id, spec_id, {pkey()} AS pkey, {hex_('pk')} AS pk, dsn, added_at FROM eq_delete_rows x LEFT JOIN ed ON ed.table_id = x.table_id AND ed.path = {path('x.file_path')}),
 qs AS (SELECT q.row_id, q.table_id, q.pk, q.added_at, q.dsn, arg_max(s.live, (s.seq, s.k, s.ordinal, s.live)) AS live FROM q LEFT JOIN s ON s.table_id = q.table_id AND s.spec_id = q.spec_id AND s.pkey = q.pkey AND s.pk = q.pk AND s.seq < q.dsn
        GROUP BY 1, 2, 3, 4, 5),
-o AS (SELECT 'index_changes.data_file_path' AS ref_field, table_id, change_id AS ref_id, path AS ref_value, CAST(at AS DATE) AS day FROM c
-        WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.table_id = c.table_id AND d.path = c.path AND d.a <= c.at AND (d.r IS NULL OR d.r > c.at))
-      UNION ALL SELECT 'commit_plans.eq_deletes_to_remove', table_id, plan_id, path, CAST(at AS DATE) FROM p
-        WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.table_id = p.table_id AND e.path = p.path AND e.a <= p.at AND (e.r IS NULL OR e.r > p.at))
+o AS (SELECT 'index_changes.data_file_path' AS ref_field, table_id, change_id AS ref_id, path AS ref_value, CAST(tm AS DATE) AS day FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.table_id = c.table_id AND d.path = c.path AND d.a <= c.tm AND (d.r IS NULL OR d.r > c.tm))
+      UNION ALL SELECT 'commit_plans.eq_deletes_to_remove', table_id, plan_id, path, CAST(tm AS DATE) FROM p
+        WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.table_id = p.table_id AND e.path = p.path AND e.a <= p.tm AND (e.r IS NULL OR e.r > p.tm))
       UNION ALL SELECT 'eq_delete_rows.pk', table_id, row_id, pk, CAST(added_at AS DATE) FROM qs WHERE coalesce(live, 0) = 0)
 """
 _P4 = _ORPHANS + "SELECT DISTINCT ref_field, ref_id, ref_value FROM o"
