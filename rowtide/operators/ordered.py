@@ -36,3 +36,18 @@ def next_bound(points: DataFrame, bounds: DataFrame, by: Sequence[str], order: s
     blocks = blocks.select(*by, "_block", F.last("_first", ignorenulls=True).over(later).alias("_far"))
     found = near.join(blocks, [*by, "_block"], "left").withColumn("_hit", F.coalesce("_near", "_far"))
     return found.select(*by, order, F.col(f"_hit.{order}").alias(f"bound_{order}"), *[F.col(f"_hit.{c}").alias(c) for c in payload])
+
+
+def row_positions(rows: DataFrame, by: Sequence[str], order: str, name: str = "pos", block: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``name``: the place of each row in its group by ``order``, from 0.
+
+    ``order`` is an integer column, unique in a group (ties get places in no certain order; null comes first). Groups are cut into
+    blocks of ``order``; places inside a block are counted in parallel and shifted by the rows of the blocks before. So a group
+    with most rows is not one task's. Null keys form a group.
+    """
+    cut_ = rows.withColumn("_g", F.struct(*by)).withColumn("_block", F.coalesce(F.floor(F.col(order) / block), F.lit(-(1 << 62))))
+    counts = cut_.groupBy("_g", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_g", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_block").orderBy(order))
+    return cut_.withColumn("_rn", inside).join(shifts, ["_g", "_block"]).withColumn(name, (F.col("_shift") + F.col("_rn") - 1).cast("bigint")).drop("_g", "_block", "_rn", "_shift")
