@@ -51,7 +51,8 @@ STATE = "mix_id int, source string, node bigint, doc_id bigint, tokens bigint, w
 
 
 def _node(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    # long texts first, so that the one left open at the end is most likely short
+    pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     key = f"{seed}/{pdf.mix_id[0]}/{pdf.source[0]}/{pdf.node[0]}/{len(pdf)}"
     weight = pdf.tokens.to_numpy(float)
     mass = weight * pdf.part.to_numpy(float)
@@ -89,6 +90,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     are in no mix. Every text gets the whole part of its expected copies, and one more
     with its fractional part as probability; those are rounded by the pivotal
     method weighted by tokens, so each source's tokens are exact but for one text.
+    Repeated rows are texts of their own.
 
     Leaves of about LEAF texts are rounded in parallel; each leaves at most one
     open text, and the open ones go up a tree of FAN children a node until one is
