@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once a session; needed where it is not installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_rowtide_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="rowtide-"), "rowtide.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(path)
+    sc._rowtide_shipped = True
