@@ -74,10 +74,13 @@ def lookup(probe: DataFrame, index: DataFrame, keys: Sequence[str], pushed: str,
     if how is None:
         how = strategy(p.limit(BROADCAST_KEYS + 1).count())
     if how == "in":
-        values = [r[0] for r in p.select(pushed).distinct().limit(IN_KEYS + 1).collect()]
-        if len(values) > IN_KEYS:
+        found = p.limit(IN_KEYS + 1).collect()
+        if len(found) > IN_KEYS:
             raise ValueError("too many keys for an IN list")
-        return index.where(F.col(pushed).isin(values)).join(F.broadcast(p), list(keys), "left_semi")
+        hits = index.where(F.col(pushed).isin(sorted({r[pushed] for r in found if r[pushed] is not None})))
+        if list(keys) == [pushed]:
+            return hits
+        return hits.join(F.broadcast(index.sparkSession.createDataFrame(found, p.schema)), list(keys), "left_semi")
     if how == "broadcast":
         if p.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
             raise ValueError("too many keys to broadcast")
