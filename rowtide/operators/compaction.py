@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Pieces a group is summed up in; their number bounds the window over a group.
@@ -158,8 +158,8 @@ def concatenate(parts: DataFrame, output: Sequence[str], file_id: str = "file_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for o, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for o, ps in zip(b.column(0), b.column(1)):
+                o, ps = o.as_py(), ps.as_py()
                 if any(p["frame"] is None for p in ps):
                     raise ValueError("a member has no bytes")
                 joined = join_frames([p["frame"] for p in ps])
@@ -172,8 +172,8 @@ def concatenate(parts: DataFrame, output: Sequence[str], file_id: str = "file_id
                     at += n
                 if at != len(joined):
                     raise ValueError("lengths do not add up")
-                rows.append({"_o": o, "members": members, "bytes": at, "crc": zlib.crc32(joined), "payload": joined})
-            yield pa.RecordBatch.from_pylist(rows, schema=target)
+                # one output at a time: no more than one payload is held
+                yield pa.RecordBatch.from_pylist([{"_o": o, "members": members, "bytes": at, "crc": zlib.crc32(joined), "payload": joined}], schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,7 +56,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_rowtide_shipped", False):
         return
     here = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="rowtide-"), "rowtide.zip")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    if shared.startswith(("/", "file:")):
+        folder = os.path.join("/" + shared.removeprefix("file:").lstrip("/"), f"rowtide-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+    else:
+        folder = tempfile.mkdtemp(prefix="rowtide-")  # the driver's; Spark sends the file from there
+    path = os.path.join(folder, "rowtide.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
