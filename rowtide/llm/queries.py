@@ -55,7 +55,27 @@ def p8_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(truncation.measured(_table(spark, d, "documents").select("doc_id", "text", "source"))).select("source", "unit", "length", "n", F.col("incomplete").cast("bigint").alias("incomplete"))
 
 
-QUERIES = {f.__name__: f for f in (p6_pack, p6_usage, p7_selection, p7_shares, p8_found, p8_rates, p8_limits)}
+def p8_endings(spark: SparkSession, d: str) -> DataFrame:
+    """How every text ends."""
+    return truncation.with_ending(_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ending")
 
-#: Token counts, random rounding and significance tests are beyond SQL; these are tested by brute force.
-SQL: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (p6_pack, p6_usage, p7_selection, p7_shares, p8_found, p8_rates, p8_limits, p8_endings)}
+
+def _text(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+_BLANKS = " || ".join([_text(" "), *(f"chr({ord(c)})" for c in truncation.BLANKS if c != " ")])
+_ENDINGS = f"""
+WITH b AS (SELECT {_BLANKS} AS blanks), t AS (SELECT doc_id, rtrim(text, blanks) AS t, blanks FROM documents, b),
+l AS (SELECT doc_id, t, [y for y in [trim(x, blanks) for x in string_split(t, chr(10))] if y <> '' AND NOT regexp_matches(y, {_text(truncation.MATTER)})] AS lines FROM t),
+r AS (SELECT doc_id, t, lines, trim(regexp_replace([x for x in lines if NOT regexp_matches(x, {_text(truncation.ITEM)})][-1], {_text(r"(?:</?\w+>\s*)+$")}, '')) AS last FROM l)
+SELECT doc_id, CASE WHEN t IS NULL THEN NULL WHEN regexp_matches(right(t, 16), {_text(truncation.MARK)}) THEN 'marked' WHEN last IS NULL OR last = '' THEN 'whole'
+  WHEN regexp_matches(right(last, 40), {_text(truncation.WEAK)}) THEN 'weak' WHEN regexp_matches(right(last, 40), {_text(truncation.STOP)}) THEN 'whole'
+  WHEN regexp_matches(lines[-1], {_text(truncation.ITEM)}) AND length(last) <= {truncation.HEADING} THEN 'whole' ELSE 'open' END AS ending FROM r
+"""
+
+#: Token counts, random rounding and significance tests are beyond SQL; those queries are tested by brute force.
+SQL = {"p8_endings": _ENDINGS}

@@ -108,3 +108,15 @@ def test_measures_ignore_broken_characters(spark):
     df = spark.createDataFrame([(1, "ab�", "s")], "doc_id bigint, text string, source string")
     r = tr.measured(df).first()
     assert (r.chars, r.bytes) == (2, 2)
+
+
+def test_endings_equal_their_sql(spark):
+    import os
+
+    from compare import connect, duck_rows, spark_rows
+    from rowtide.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    assert spark_rows(queries.QUERIES["p8_endings"](spark, sf)) == duck_rows(connect(sf), queries.SQL["p8_endings"])
