@@ -35,6 +35,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, str(path)
+        self._warm: tuple[int, DataFrame] | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, table_name: str, buckets: int = 1) -> Index:
@@ -78,13 +79,32 @@ class Index:
     def _base(self, v: Version) -> DataFrame:
         name = f"rowtide_index_{v.base}"
         if not self.spark.catalog.tableExists(name):
-            cols = SCHEMA.replace(",", ",")
-            self.spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (pk) SORTED BY (pk) INTO {v.buckets} BUCKETS LOCATION '{self.path}/{v.base}'")
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMA}) USING parquet CLUSTERED BY (pk) SORTED BY (pk) INTO {v.buckets} BUCKETS LOCATION '{self.path}/{v.base}'")
         return self.spark.table(name)
 
     def entries(self) -> DataFrame:
         """All entries, older ones of a key included."""
         v = self.version()
+        if self._warm is not None and self._warm[0] == v.number:
+            return self._warm[1]
+        return self._read(v)
+
+    def warm(self) -> int:
+        """Keeps the present version in the executors' memory (and on their disks where it is full), as a standing job does; returns its entries.
+
+        Later versions are read from storage until warmed again.
+        """
+        self.cool()
+        v = self.version()
+        self._warm = v.number, self._read(v).persist()
+        return self._warm[1].count()
+
+    def cool(self) -> None:
+        if self._warm is not None:
+            self._warm[1].unpersist()
+            self._warm = None
+
+    def _read(self, v: Version) -> DataFrame:
         parts = [self._base(v)] if v.base else []
         if v.deltas:
             parts.append(self.spark.read.schema(SCHEMA).parquet(*[os.path.join(self.path, d) for d in v.deltas]))

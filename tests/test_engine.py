@@ -290,6 +290,11 @@ def test_index_strategies_agree_and_are_what_they_say(spark, tmp_path):
             results.append(sorted(map(tuple, again.find(probe, how).collect())))
     assert all(r == results[0] for r in results) and len(results[0]) == 715
     assert (0, "", "00000007", "f", 9007) in results[0]
+    assert again.warm() == 5000 and sorted(map(tuple, again.find(probe).collect())) == results[0]
+    i.append(e.where("pos = 7").withColumn("seq", F.lit(3)))
+    assert (0, "", "00000007", "f", 7) in set(map(tuple, again.find(probe).collect()))
+    again.cool()
+    again.compact()
     few = again.find(probe.where("pk = '00000007'"), "in")
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     try:
