@@ -221,7 +221,7 @@ def compact_delete_files(delete_files: DataFrame, eq_delete_rows: DataFrame, tab
     planned = plan_outputs(small_delete_files(delete_files, tables), GROUP, "size", "target")
     stated = planned.select("file_id", F.lit(0).alias("piece"), F.to_json(F.struct("path", "content", F.col("records").alias("record_count"), "referenced"), {"ignoreNullFields": "false"}).alias("line"))
     rows = eq_delete_rows.groupBy("row_id", "table_id", canon.file_path("file_path").alias("path")).agg(F.max("spec_id").alias("spec_id"), F.max(canon.partition_key("partition_key")).alias("partition_key"), F.max(canon.hex_key("pk")).alias("pk"))
-    hot = skew.hot_buckets(rows, ["table_id", "path"])
+    hot = skew.hot_buckets(eq_delete_rows.select("table_id", canon.file_path("file_path").alias("path")), ["table_id", "path"])
     contents = rows.join(planned.select("table_id", "path", "file_id"), ["table_id", "path"]).select(
         "file_id", skew.piece(["table_id", "path"], ["row_id"], hot).alias("piece"), F.to_json(F.struct("spec_id", "partition_key", "pk"), {"ignoreNullFields": "false"}).alias("line")
     )
