@@ -11,4 +11,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark(tmp_path_factory):
     from rowtide.session import local_session
 
-    return local_session(4, 4, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})
+    return local_session(4, 2, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})
