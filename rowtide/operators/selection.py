@@ -8,8 +8,7 @@ counts only, so a key that holds a third of all rows costs no more than another.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,26 +95,32 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     return found.select(*[F.col(f"_g.{k}").alias(k) for k in keys], "prob", "rows", back.alias("value"))
 
 
-def heavy_values(df: DataFrame, keys: Sequence[str], value: str, share: Fraction | float) -> DataFrame:
+def heavy_values(df: DataFrame, keys: Sequence[str], value: str, share: Fraction | float | tuple[str, Mapping[str, Fraction]]) -> DataFrame:
     """keys, ``value``, n: values that more than ``share`` of their group's rows have.
 
-    Rows with a null value count for the group but give no result; null keys
+    ``share`` may be a key column and the share for each of its values; groups of other values give
+    nothing. Rows with a null value count for the group but give no result; null keys
     form a group. A value with more than share * rows covers at least one of
     the ranks ceil(j * rows * share): so selecting those ranks, over the values'
     hashes, gives every such value, and nothing else has to be counted. The value
     of a hash is then read from the rows of the few hashes left; should two
     values share one, they are counted apart.
     """
-    share = Fraction(share).limit_denominator(10_000)
-    up, down = share.numerator, share.denominator
+    if isinstance(share, tuple):
+        column, parts = share[0], {k: Fraction(v).limit_denominator(10_000) for k, v in share[1].items()}
+        pick = lambda what: F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), F.lit(what(v)).cast("bigint"))])[F.col(f"_g.{column}")]
+    else:
+        one = Fraction(share).limit_denominator(10_000)
+        pick = lambda what: F.lit(what(one)).cast("bigint")
     hashed = df.select(F.struct(*keys).alias("_g"), F.when(F.col(value).isNotNull(), F.shiftrightunsigned(F.xxhash64(value), 2)).alias("_h"))
     rows = hashed.where("_h is not null")
     hot = skew.hot_buckets(rows, ["_g"])
     ends = hashed.groupBy("_g").agg(F.count(F.lit(1)).alias("total"), F.count("_h").alias("rows"), F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("rows > 0")
-    step = F.explode(F.sequence(F.lit(1), F.lit(math.ceil(1 / share)))).alias("j")
+    ends = ends.withColumn("up", pick(lambda f: f.numerator)).withColumn("down", pick(lambda f: f.denominator)).where("up is not null")
+    step = F.explode(F.expr("sequence(1L, (down + up - 1) div up)")).alias("j")
     targets = (
-        ends.select("_g", "rows", "lo", "hi", F.expr(f"total * {up}L div {down}L + 1").alias("least"), step)
-        .withColumn("rank", F.least(F.expr(f"(j * rows * {up}L + {down - 1}L) div {down}L"), F.col("rows")))
+        ends.select("_g", "rows", "lo", "hi", "up", "down", F.expr("total * up div down + 1").alias("least"), step)
+        .withColumn("rank", F.least(F.expr("(j * rows * up + down - 1) div down"), F.col("rows")))
         .select("_g", "rank", "lo", "hi", "least").distinct()
     )
     found = cut(select_ranks(rows, "_g", "_h", targets, 1024, hot, "least").select("_g", F.col("value").alias("_h"), "least").distinct())

@@ -46,30 +46,25 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.sum("files").alias("files"), F.sum("records").alias("records"))
 
 
-def _long_keys(changes: DataFrame) -> DataFrame:
-    """Both key fields of every delivered change in long form."""
+def _key_fields(changes: DataFrame, *columns: str) -> DataFrame:
+    """Both key fields of every delivered change in long form, null paths too."""
     fields = F.array(F.struct(F.lit("partition_key").alias("key_field"), canon.partition_key("partition_key").alias("key_value")), F.struct(F.lit("data_file_path").alias("key_field"), canon.file_path("data_file_path").alias("key_value")))
-    rest = changes.select("*", F.explode(fields).alias("f")).where("f.key_value is not null")
-    return rest.withColumns({"key_field": F.col("f.key_field"), "key_value": F.col("f.key_value")}).drop("f")
+    return changes.select("table_id", *columns, F.explode(fields).alias("f")).select("table_id", "f.key_field", "f.key_value", *columns)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    changes = table(spark, d, "index_changes")
-    fields = ("partition_key", canon.partition_key, Fraction(1, 4)), ("data_file_path", canon.file_path, Fraction(1, 20))
-    found = [
-        selection.heavy_values(changes.select("table_id", spell(field).alias("key_value")), ["table_id"], "key_value", share).select("table_id", F.lit(field).alias("key_field"), "key_value")
-        for field, spell, share in fields
-    ]
-    return found[0].unionByName(found[1])
+    shares = {"partition_key": Fraction(1, 4), "data_file_path": Fraction(1, 20)}
+    rows = _key_fields(table(spark, d, "index_changes"))
+    return selection.heavy_values(rows, ["table_id", "key_field"], "key_value", ("key_field", shares)).select("table_id", "key_field", "key_value")
 
 
 def p3_key_stats(spark: SparkSession, d: str) -> DataFrame:
-    long = _long_keys(table(spark, d, "index_changes"))
+    long = _key_fields(table(spark, d, "index_changes"), "spec_id", "pk", "changed_at", "change_id").where("key_value is not null")
     return selection.key_stats(long, ["table_id", "key_field", "key_value"], [F.col("spec_id"), canon.hex_key("pk")], ["changed_at", "change_id"])
 
 
 def p3_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    long = _long_keys(table(spark, d, "index_changes")).select("table_id", "key_field", "key_value", "sequence_number")
+    long = _key_fields(table(spark, d, "index_changes"), "sequence_number").where("key_value is not null")
     return selection.exact_quantiles(long, ["table_id", "key_field", "key_value"], "sequence_number", [0.25, 0.5, 0.9])
 
 

@@ -345,3 +345,10 @@ def test_queries_on_empty_tables(spark, tmp_path):
         spark.read.parquet(p).limit(0).coalesce(1).write.parquet(str(tmp_path / os.path.basename(p)))
     for name, f in problems.QUERIES.items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_heavy_values_with_a_share_for_each_kind(spark):
+    rows = [("a", "x")] * 3 + [("a", "y")] * 2 + [("b", "x")] * 3 + [("b", "y")] * 2 + [("c", "x")] * 9 + [(None, "x")] * 9
+    df = spark.createDataFrame(rows, "kind string, v string")
+    got = {(r.kind, r.v): r.n for r in selection.heavy_values(df, ["kind"], "v", ("kind", {"a": Fraction(1, 2), "b": Fraction(1, 4)})).collect()}
+    assert got == {("a", "x"): 3, ("b", "x"): 3, ("b", "y"): 2}
