@@ -26,6 +26,7 @@ DELTAS = 20
 class Version:
     number: int
     buckets: int
+    every: bool = False
     base: str | None = None
     deltas: list[str] = field(default_factory=list)
 
@@ -38,13 +39,17 @@ class Index:
         self._warm: tuple[int, DataFrame] | None = None
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, table_name: str, buckets: int = 1) -> Index:
-        """Opens the index of a table, or makes it; the name is made fit for a folder."""
+    def create(cls, spark: SparkSession, root: str, table_name: str, buckets: int = 1, every: bool = False) -> Index:
+        """Opens the index of a table, or makes it; the name is made fit for a folder.
+
+        With ``every`` it keeps all entries of a key, for tables in which a key may have several live rows; else the
+        last one counts. That is decided when the index is made.
+        """
         i = cls(spark, os.path.join(root, identifier_text(table_name)))
         os.makedirs(os.path.join(i.path, "log"), exist_ok=True)
         if not i._numbers():
             try:
-                i._put(Version(1, buckets))
+                i._put(Version(1, buckets, every))
             except Conflict:
                 pass
         return i
@@ -120,7 +125,7 @@ class Index:
         """Base and deltas become one bucketed, sorted base: lookups by key then read only their buckets."""
         v = self.version()
         name = uuid.uuid4().hex
-        rows = self.rows().repartition(v.buckets, "pk")
+        rows = (self.entries().distinct() if v.every else self.rows()).repartition(v.buckets, "pk")
         rows.write.format("parquet").bucketBy(v.buckets, "pk").sortBy("pk").option("path", f"{self.path}/{name}").saveAsTable(f"rowtide_index_{name}")
         return self._put(replace(v, number=v.number + 1, base=name, deltas=[]))
 
@@ -133,12 +138,12 @@ class Index:
             shutil.rmtree(os.path.join(self.path, d), ignore_errors=True)
         return old
 
-    def find(self, probe: DataFrame, how: str | None = None, every: bool = False) -> DataFrame:
+    def find(self, probe: DataFrame, how: str | None = None) -> DataFrame:
         """KEYS, data_file_path, pos of the probe's keys (KEYS columns), misses left out.
 
-        The last entry of a key, or with ``every`` all of them, for tables in which a key may have
-        several live rows. Older entries are sorted out after the match, of matched keys only.
+        The last entry of a key, or all of them if the index keeps every one. Older entries are sorted out after the
+        match, of matched keys only.
         """
         hits = lookup.lookup(probe, self.entries(), KEYS, "pk", how)
-        out = hits.distinct() if every else lookup.latest(hits, KEYS, ORDER)
+        out = hits.distinct() if self.version().every else lookup.latest(hits, KEYS, ORDER)
         return out.select(*KEYS, "data_file_path", "pos")

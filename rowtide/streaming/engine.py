@@ -50,7 +50,7 @@ def probes(table: Table, meta: Meta, run: runs.Run) -> DataFrame:
     return scans.equality_deletes(table.spark, run.files, key).select("spec_id", "partition_key", key_hex(key).alias("pk"))
 
 
-def process_next_run(table: Table, index: Index, every: bool = False, how: str | None = None) -> runs.Run | None:
+def process_next_run(table: Table, index: Index, how: str | None = None) -> runs.Run | None:
     """Plans and carries out one run; None if there was nothing to do.
 
     A DATA run makes its index entries durable, then advances the watermark. An EQ_DEL run finds the rows, merges them with
@@ -67,7 +67,7 @@ def process_next_run(table: Table, index: Index, every: bool = False, how: str |
         index.append(index_rows(table, meta, run))
         table.commit(meta, properties=marks)
         return run
-    found = index.find(probes(table, meta, run), how or lookup.strategy(run.records), every)
+    found = index.find(probes(table, meta, run), how or (lookup.strategy(run.records) if run.records else None))
     adds, replaced = delete_writers.merged(table, meta, table.files(meta), found)
     eq = run.files.select("path", "referenced", "content")
     table.commit(meta, adds, eq.unionByName(replaced.select("path", "referenced", "content")), marks, {config.CONVERTED: "true"})
@@ -141,8 +141,8 @@ class Supervisor:
         try:
             self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", identifier_text(table.path))
             conf = TableConfig.of(table.meta().properties)
-            index = Index.create(self.spark, self.settings.index_root, os.path.relpath(table.path, self.settings.root), conf.buckets)
-            run = process_next_run(table, index, self.settings.every_entry)
+            index = Index.create(self.spark, self.settings.index_root, os.path.relpath(table.path, self.settings.root), conf.buckets, self.settings.every_entry)
+            run = process_next_run(table, index)
             if run is None:
                 self._rest_until[table.path] = time.monotonic() + self.settings.idle_seconds
                 self.metrics.idle(table.path)

@@ -308,13 +308,19 @@ def test_index_strategies_agree_and_are_what_they_say(spark, tmp_path):
         lookup.lookup(e, again.entries(), ["pk"], "pk", "in")
 
 
-def test_index_of_all_entries(spark, tmp_path):
-    t, i = make(spark, tmp_path)
+@pytest.mark.parametrize("compacted", [False, True])
+def test_index_of_all_entries(spark, tmp_path, compacted):
+    t, _ = make(spark, tmp_path)
+    i = Index.create(spark, str(tmp_path / "index"), "all", 2, every=True)
     t.append(rows(spark, 1, 1, 2).coalesce(1))
+    engine.process_all(t, i)
+    if compacted:
+        i.compact()
     t.write(delete_keys=keys(spark, 1))
     before = seen(t)
-    engine.process_all(t, i, every=True)
+    engine.process_all(t, i)
     assert seen(t) == before == [(2, "a2", "eng")]
+    assert Index.create(spark, str(tmp_path / "index"), "all", 2).version().every
 
 
 def test_vector_codec():
