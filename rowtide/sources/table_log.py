@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.functions.keys import key_hex
+from rowtide.operators import manifest_diff
 from rowtide.plans import config
 from rowtide.plans.config import TableConfig
+from rowtide.session import cut
 from rowtide.sources import scans
 
 #: One row of a manifest: a file that a version adds or removes.
@@ -277,7 +279,11 @@ class Table:
         """The rows a reader sees: data less positions, vectors and equality deletes of later commits."""
         meta = meta or self.meta()
         columns = list(columns or meta.struct.names)
-        every = self.files(meta)
+        return self.live(self.files(meta), meta, columns).select(*columns)
+
+    def live(self, every: DataFrame, meta: Meta, columns: Sequence[str] | None = None) -> DataFrame:
+        """data_file_path, pos and ``columns`` of the rows of the data files in ``every`` that no delete in ``every`` hits."""
+        columns = list(columns or meta.struct.names)
         deletes = every.where("content in ('pos', 'dv')")
         eq = every.where("content = 'eq'")
         sets = [tuple(r.field_ids) for r in eq.select("field_ids").distinct().collect()]
@@ -295,26 +301,81 @@ class Table:
             last = keys.groupBy(F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.struct(*key.names).alias("_k")).agg(F.max("seq").alias("_dead"))
             # any later delete is one later than the last, so one row a key decides
             r = r.withColumn("_k", F.struct(*key.names)).join(last, ["_spec", "_part", "_k"], "left").where("_dead is null or _dead <= _seq").drop("_dead", "_k")
-        return r.select(*columns)
+        return r.select("data_file_path", "pos", *columns)
+
+
+def _touched(spark: SparkSession, was: DataFrame, now: DataFrame) -> DataFrame:
+    """path of every data file whose live rows may differ between two listings.
+
+    Files added, removed or with another number of deleted positions are the diff of the manifests; besides, files that a
+    delete in one listing only may hit: the files it names, of an equality delete the older files of its partition.
+    """
+    data = lambda m: m.where("content = 'data'").select(F.lit(0).alias("table_id"), F.col("path").alias("file_id"), F.col("records").alias("record_count"))
+    gone = lambda m: m.where("content <> 'data' and referenced is not null").groupBy("referenced").agg(F.sum("records").alias("deleted")).select(F.lit(0).alias("table_id"), F.col("referenced").alias("file_id"), "deleted")
+    changed = manifest_diff.diff(data(was), data(now), gone(was), gone(now)).select(F.col("file_id").alias("path"))
+    deletes = lambda m: m.where("content <> 'data'").select("content", "path", "format", "referenced", "offset", "size", "spec_id", "partition_key", "seq")
+    moved = deletes(now).exceptAll(deletes(was)).unionByName(deletes(was).exceptAll(deletes(now)))
+    named = moved.where("referenced is not null").select(F.col("referenced").alias("path"))
+    loose = scans.position_deletes(spark, moved.where("content = 'pos' and referenced is null")).select(F.col("data_file_path").alias("path"))
+    last = moved.where("content = 'eq'").groupBy("spec_id", "partition_key").agg(F.max("seq").alias("_last"))
+    hit = now.where("content = 'data'").join(last, ["spec_id", "partition_key"]).where("seq < _last").select("path")
+    return changed.unionByName(named).unionByName(loose).unionByName(hit).distinct()
 
 
 def process_new(spark: SparkSession, source: Table, sink: Table, transform, name: str = "source") -> Meta | None:
-    """One incremental step: transforms the rows of files that ``source`` gained since the version the sink has processed.
+    """One incremental step: carries what changed in ``source`` since the version the sink has processed into the sink.
+
+    The live rows of the files that differ between both versions are compared by file and position. Rows that came are
+    transformed and added. Rows that went, with their file or by a vector, position or equality delete, are transformed and
+    retracted: as many equal rows of the sink as went get position deletes (rows the sink no longer holds are
+    passed over). So after each step the sink holds ``transform`` of the rows visible in the source, if ``transform``
+    treats each row by itself and alike at every step. New equality deletes cost a scan of the older files of their partitions,
+    retractions one of the sink. Files removed from the source must still be readable.
 
     The processed version is a property of the sink, saved in the commit of the output: a step that fails leaves both as
     they were, a repeated one finds nothing to do. Returns None if nothing is new. A concurrent step loses with Conflict.
     """
+    from rowtide.sources import delete_writers
+
     prop = f"rowtide.processed.{name}"
     base, head = sink.meta(), source.meta()
     done = int(base.properties.get(prop, 0))
     if head.version == done:
         return None
-    older = source.files(source.meta(done), "data") if done else source.files(head, "data").limit(0)
-    new = source.files(head, "data").join(older.select("path"), "path", "left_anti")
-    adds = sink._write_files(transform(source.scan(new, head).drop("data_file_path", "pos")), "data", base.struct.names, base).withColumn("content", F.lit("data"))
+    processed = source.meta(done) if done else head
+    # small, and used many times
+    now = cut(source.files(head))
+    was = cut(source.files(processed)) if done else now.limit(0)
+    touched = spark.createDataFrame([(r.path,) for r in _touched(spark, was, now).collect()], "_p string")
+
+    def rows(every: DataFrame, meta: Meta) -> DataFrame:
+        # equality deletes and those that name no file may hit any
+        of = F.when(F.col("content") == "data", F.col("path")).otherwise(F.col("referenced"))
+        own = every.withColumn("_p", of).join(touched, "_p", "left_semi").drop("_p")
+        return source.live(own.unionByName(every.where("content <> 'data' and referenced is null")), meta)
+
+    place = ["data_file_path", "pos"]
+    before, after = rows(was, processed), rows(now, head)
+    came = after.join(before.select(*place), place, "left_anti").drop(*place)
+    went = cut(before.join(after.select(*place), place, "left_anti").drop(*place)) if done else None
+    adds = sink._write_files(transform(came), "data", base.struct.names, base).withColumn("content", F.lit("data"))
+    removes = None
+    if went is not None and went.limit(1).count():
+        merged, removes = delete_writers.merged(sink, base, sink.files(base), cut(_equal_rows(sink, base, transform(went))))
+        adds = adds.unionByName(merged, allowMissingColumns=True)
     if sink.meta().version != base.version:
         raise Conflict("the sink moved on")
-    return sink.commit(base, adds, properties={prop: str(head.version)}, summary={"processed": f"{name}:{head.version}"})
+    return sink.commit(base, adds, removes, {prop: str(head.version)}, {"processed": f"{name}:{head.version}"})
+
+
+def _equal_rows(table: Table, meta: Meta, rows: DataFrame) -> DataFrame:
+    """data_file_path, pos of visible rows of ``table`` that equal ``rows``, nulls too, each as often as it is in ``rows``."""
+    s = meta.struct
+    counted = rows.select(*[F.col(c).cast(s[c].dataType).alias(c) for c in s.names]).groupBy(*s.names).agg(F.count(F.lit(1)).alias("_n"))
+    held, counted = table.live(table.files(meta), meta).alias("a"), counted.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in s.names]
+    w = Window.partitionBy(*s.names).orderBy("data_file_path", "pos")
+    return held.join(counted, same).select("a.*", "b._n").withColumn("_rn", F.row_number().over(w)).where("_rn <= _n").select("data_file_path", "pos")
 
 
 def tables(spark: SparkSession, root: str, log=print) -> list[Table]:

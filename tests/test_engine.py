@@ -431,3 +431,26 @@ def test_incremental_step(spark, tmp_path):
         table_log.process_new(spark, src, out, lambda df: df.withColumn("name", F.raise_error(F.lit("boom")).cast("string")))
     table_log.process_new(spark, src, out, twice)
     assert seen(out) == [(1, "A1", "eng"), (2, "A2", "eng"), (3, "A3", "eng")]
+
+
+def test_incremental_step_carries_deletes(spark, tmp_path):
+    src, _ = make(spark, tmp_path)
+    out = Table.create(spark, str(tmp_path / "out"), "id bigint, name string, dept string", (), PK)
+
+    def step():
+        assert table_log.process_new(spark, src, out, lambda df: df.withColumn("name", F.upper("name"))) is not None
+        return [r[:2] for r in seen(out)]
+
+    # deletes that are there at the first step: a position and a later equality delete
+    src.append(rows(spark, 7).coalesce(1))
+    gone = src.files(content="data").first().path
+    src.append(rows(spark, 1, 2, 3, 4, 4).coalesce(1))
+    path = src.files(content="data").where(F.col("path") != gone).first().path
+    src.write(positions=spark.createDataFrame([(path, 0)], "data_file_path string, pos bigint"), delete_keys=keys(spark, 2))
+    assert step() == [(3, "A3"), (4, "A4"), (4, "A4"), (7, "A7")]
+    # two versions of one key between two steps, a vector on one of two equal processed rows, a processed file removed
+    src.upsert(rows(spark, 3, 5, name="b"))
+    src.upsert(rows(spark, 3, name="c"))
+    src.write(positions=spark.createDataFrame([(path, 3)], "data_file_path string, pos bigint"))
+    src.commit(src.meta(), None, src.files().where(F.col("path") == gone).select("path", "referenced", "content"))
+    assert step() == [(3, "C3"), (4, "A4"), (5, "B5")]
