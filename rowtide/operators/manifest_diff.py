@@ -9,6 +9,8 @@ that dies leaves either both or neither.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,28 +165,60 @@ def pending(data_files: DataFrame, delete_files: DataFrame, tables: DataFrame, w
     return diff(processed_manifest(live, work_units, snapshots), live).where("change = 'ADDED'")
 
 
-def version_deltas(data_files: DataFrame, delete_files: DataFrame, tables: DataFrame, work_units: DataFrame, snapshots: DataFrame) -> DataFrame:
+def _vectors(delete_files: DataFrame) -> DataFrame:
+    """One row a deletion vector that names its data file."""
+    return (
+        delete_files.where((canon.label("content") == "POSITION_DELETES") & (canon.label("file_format") == "PUFFIN"))
+        .groupBy("file_id")
+        .agg(
+            F.max("table_id").alias("table_id"), F.max(canon.file_path("referenced_data_file")).alias("path"), F.max("data_sequence_number").alias("dsn"),
+            F.max("added_snapshot_id").alias("snapshot_id"), F.max("record_count").alias("deleted"), F.max("removed_at").alias("removed_at"),
+        )
+        .where("path is not null")
+    )
+
+
+def _newest(vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The newest vector of each group: ``by`` and deleted, an unknown cardinality as 0."""
+    newest = vectors.groupBy(*by).agg(F.max(F.struct("dsn", "file_id", "deleted")).alias("newest"))
+    return newest.select(*by, F.coalesce(F.col("newest.deleted"), F.lit(0)).alias("deleted"))
+
+
+def processed_vectors(vectors: DataFrame, files: DataFrame, work_units: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """table_id, file_id (of the data file), deleted: the newest vector of each of ``files`` at its table's processed version.
+
+    The processed version is that of the table's last successful unit: a run subtracts the deletes numbered up to its own
+    max_seq that its starting snapshot shows. So a vector was in force if its number is not above the unit's, its snapshot
+    not younger than the one the unit started from, and it was not removed by then; one that was removed no earlier
+    than its file was in force as long as the file was there.
+    """
+    times = snapshots.groupBy("table_id", F.col("sequence_number").alias("start_seq")).agg(F.max("committed_at").alias("starting_at"))
+    last = successful_units(work_units, snapshots).join(times, ["table_id", "start_seq"], "left")
+    last = last.groupBy("table_id").agg(F.max(F.struct("walk", "start_seq", "starting_at")).alias("u"))
+    of = files.select("table_id", "path", F.col("file_id").alias("data_id"), F.col("removed_at").alias("file_removed_at"))
+    seen = (
+        vectors.join(snapshot_sequence(snapshots), "snapshot_id").join(of, ["table_id", "path"]).join(last, "table_id")
+        .where((F.col("dsn") <= F.shiftright(F.col("u.walk"), 1)) & (F.col("seq") <= F.col("u.start_seq")))
+        .where(F.col("removed_at").isNull() | (F.col("removed_at") > F.col("u.starting_at")) | (F.col("removed_at") >= F.col("file_removed_at")))
+    )
+    return _newest(seen, ["table_id", "data_id"]).withColumnRenamed("data_id", "file_id")
+
+
+def version_deltas(data_files: DataFrame, delete_files: DataFrame, tables: DataFrame, work_units: DataFrame, snapshots: DataFrame, since: bool = False) -> DataFrame:
     """Record deltas of each table between its processed manifest and the live one, vectors included.
 
-    The processed side carries no vector (a run indexes records as they were);
-    the live side subtracts the newest live vector of each data file. Rows:
-    table_id, change, files, records_added, records_removed.
+    The live side subtracts the newest live vector of each data file. ``since``: the processed side likewise
+    subtracts :func:`processed_vectors`, so only records deleted since then count; without it the processed side
+    carries no vector, and records count as the files were written. Rows: table_id, change, files, records_added, records_removed.
     """
     every = data_manifest(data_files)
     live = every.where("removed_at is null")
     taken = processed_manifest(every, work_units, snapshots)
-    vectors = (
-        delete_files.where((canon.label("content") == "POSITION_DELETES") & (canon.label("file_format") == "PUFFIN"))
-        .groupBy("file_id")
-        .agg(F.max("table_id").alias("table_id"), F.max(canon.file_path("referenced_data_file")).alias("path"), F.max("data_sequence_number").alias("dsn"), F.max("record_count").alias("deleted"), F.max("removed_at").alias("removed_at"))
-        .where("removed_at is null and path is not null")
-        .groupBy("table_id", "path")
-        .agg(F.max(F.struct("dsn", "file_id", "deleted")).alias("newest"))
-        .select("table_id", "path", F.coalesce(F.col("newest.deleted"), F.lit(0)).alias("deleted"))
-    )
-    on_files = live.select("table_id", "path", "file_id").join(vectors, ["table_id", "path"]).select("table_id", "file_id", "deleted")
+    vectors = _vectors(delete_files)
+    on_files = live.select("table_id", "path", "file_id").join(_newest(vectors.where("removed_at is null"), ["table_id", "path"]), ["table_id", "path"]).select("table_id", "file_id", "deleted")
+    before = processed_vectors(vectors, taken, work_units, snapshots) if since else None
     return (
-        diff(taken, live, None, on_files)
+        diff(taken, live, before, on_files)
         .groupBy("table_id", "change")
         .agg(F.count(F.lit(1)).alias("files"), F.sum("records_added").alias("records_added"), F.sum("records_removed").alias("records_removed"))
     )

@@ -26,6 +26,11 @@ def p1_version_deltas(spark: SparkSession, d: str) -> DataFrame:
     return manifest_diff.version_deltas(*_files(spark, d))
 
 
+def p1_deltas_since(spark: SparkSession, d: str) -> DataFrame:
+    """Like p1_version_deltas, less what vectors had already deleted at the processed version."""
+    return manifest_diff.version_deltas(*_files(spark, d), since=True)
+
+
 def _compacted(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compact_delete_files(table(spark, d, "delete_files"), table(spark, d, "eq_delete_rows"), table(spark, d, "ice_tables"))
 
@@ -120,4 +125,4 @@ def p5_live_per_table(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("table_id").agg(F.count(F.lit(1)).alias("live_keys"), F.count_distinct("data_file_path").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_version_deltas, p2_found, p2_compacted, p2_groups, p3_found, p3_key_stats, p3_quantiles, p4_found, p4_per_table_day, p5_found, p5_live_per_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_version_deltas, p1_deltas_since, p2_found, p2_compacted, p2_groups, p3_found, p3_key_stats, p3_quantiles, p4_found, p4_per_table_day, p5_found, p5_live_per_table)}

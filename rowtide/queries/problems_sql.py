@@ -58,6 +58,26 @@ SELECT table_id, change, count(*) AS files,
 FROM ch WHERE change IS NOT NULL GROUP BY 1, 2
 """
 
+_P1_SINCE = f"""
+WITH {_SNAP}, {_UNITS}, {_DATA}, taken AS ({_TAKEN.format('df')}),
+tm AS (SELECT table_id, sequence_number AS seq, max(committed_at) AS at FROM snapshots GROUP BY 1, 2),
+lu AS (SELECT u.table_id, own // 2 AS max_seq, start_seq, tm.at, row_number() OVER (PARTITION BY u.table_id ORDER BY own DESC, start_seq DESC NULLS LAST) AS rn
+       FROM u LEFT JOIN tm ON tm.table_id = u.table_id AND tm.seq = u.start_seq),
+v AS (SELECT file_id, max(table_id) AS table_id, max({path('referenced_data_file')}) AS path, max(data_sequence_number) AS dsn, max(added_snapshot_id) AS sid, max(record_count) AS deleted, max(removed_at) AS gone
+      FROM delete_files WHERE {up('content')} = 'POSITION_DELETES' AND {up('file_format')} = 'PUFFIN' GROUP BY 1),
+new AS (SELECT df.file_id, coalesce(arg_max(coalesce(v.deleted, 0), (v.dsn, v.file_id)), 0) AS d FROM df JOIN v ON v.table_id = df.table_id AND v.path = df.path WHERE df.gone IS NULL AND v.gone IS NULL GROUP BY 1),
+old AS (SELECT t.file_id, coalesce(arg_max(coalesce(v.deleted, 0), (v.dsn, v.file_id)), 0) AS d
+        FROM taken t JOIN v ON v.table_id = t.table_id AND v.path = t.path JOIN lu ON lu.rn = 1 AND lu.table_id = t.table_id JOIN snap s ON s.snapshot_id = v.sid
+        WHERE v.dsn <= lu.max_seq AND s.seq <= lu.start_seq AND (v.gone IS NULL OR v.gone > lu.at OR v.gone >= t.gone) GROUP BY 1),
+b AS (SELECT df.table_id, df.n, df.gone IS NULL AS now, t.file_id IS NOT NULL AS was, coalesce(old.d, 0) AS d1, coalesce(new.d, 0) AS d2
+      FROM df LEFT JOIN taken t ON t.file_id = df.file_id LEFT JOIN old ON old.file_id = df.file_id LEFT JOIN new ON new.file_id = df.file_id),
+ch AS (SELECT *, CASE WHEN NOT was AND now THEN 'ADDED' WHEN was AND NOT now THEN 'REMOVED' WHEN was AND now AND d1 <> d2 THEN 'CHANGED' END AS change FROM b)
+SELECT table_id, change, count(*) AS files,
+  CAST(sum(CASE change WHEN 'ADDED' THEN n - d2 WHEN 'CHANGED' THEN greatest(d1 - d2, 0) ELSE 0 END) AS BIGINT) AS records_added,
+  CAST(sum(CASE change WHEN 'REMOVED' THEN n - d1 WHEN 'CHANGED' THEN greatest(d2 - d1, 0) ELSE 0 END) AS BIGINT) AS records_removed
+FROM ch WHERE change IS NOT NULL GROUP BY 1, 2
+"""
+
 _P2_CTE = f"""
 WITH t AS (SELECT table_id, max(target_delete_file_bytes) AS target FROM ice_tables GROUP BY 1),
 f AS (SELECT file_id, max(table_id) AS table_id, max(spec_id) AS spec_id, max({pkey()}) AS partition_key, max({up('content')}) AS content, max({up('file_format')}) AS fmt,
@@ -125,6 +145,7 @@ _P5_TABLES = _P5_CTE + "SELECT table_id, count(*) AS live_keys, count(DISTINCT d
 SQL = {
     "p1_found": _P1,
     "p1_version_deltas": _P1_DELTAS,
+    "p1_deltas_since": _P1_SINCE,
     "p2_found": _P2,
     "p2_groups": _P2_GROUPS,
     "p3_found": _P3,

@@ -117,6 +117,18 @@ def test_diff_of_manifests(spark):
     assert manifest_diff.diff(older, older).count() == 0
 
 
+def test_deltas_since_count_no_vector_twice(spark):
+    data = [(1, 1, "a", 1, 10, 10, None, "x"), (2, 1, "b", 1, 10, 10, None, "x"), (3, 1, "c", 1, 10, 10, t(9), "x"), (4, 1, "d", 4, 40, 10, None, "x")]
+    dv = lambda i, of, seq, snap, n, gone=None: (i, 1, "POSITION_DELETES", "PUFFIN", f"v{i}", None, of, seq, snap, n, gone)
+    # a: as it was; b: 2 grew to 5 after the processed version; c: 3 were deleted before the file went, with its vector; d: new
+    deletes = [dv(11, "a", 2, 20, 4), dv(12, "b", 2, 20, 2, t(8)), dv(13, "b", 4, 40, 5), dv(14, "c", 2, 20, 3, t(9)), dv(15, "d", 4, 40, 1)]
+    units = [(1, 1, "DATA", 1, 10, 1, "COMMITTED", t(1)), (2, 1, "DATA", 2, 20, 1, "COMMITTED", t(3))]
+    d, e, tables, u, _ = service(spark, data, deletes, units)
+    s = spark.createDataFrame([(1, 10, 1, t(0)), (1, 20, 2, t(2)), (1, 20, 2, t(2)), (1, 40, 4, t(8))], "table_id bigint, snapshot_id bigint, sequence_number bigint, committed_at timestamp")
+    got = sorted(tuple(r) for r in manifest_diff.version_deltas(d, e, tables, u, s, since=True).collect())
+    assert got == [(1, "ADDED", 1, 9, 0), (1, "CHANGED", 1, 0, 3), (1, "REMOVED", 1, 0, 7)]
+
+
 # -- 2
 
 
