@@ -85,7 +85,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     by_path = references.orphans(children, data.unionByName(eq), ["ref_field", "table_id", "path"], ["ref_id"])
     files = delete_files.groupBy("table_id", canon.file_path("file_path").alias("path")).agg(F.max("data_sequence_number").alias("dsn"), F.max("added_at").alias("added_at"))
     rows = deleted.select("row_id", "table_id", "spec_id", canon.partition_key("partition_key").alias("partition_key"), canon.hex_key("pk").alias("pk"), canon.file_path("file_path").alias("path"))
-    rows = rows.where("pk is not null").join(files, ["table_id", "path"], "left").drop("path")
+    rows = rows.join(files, ["table_id", "path"], "left").drop("path")
     states = _changes(spark, d)
     within = F.col("kind") * F.lit(1 << 40) + F.col("ordinal")
     by_pk = references.state_orphans(rows, states, KEY, ["row_id", "added_at"], "dsn", "sequence_number", within, "live")

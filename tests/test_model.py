@@ -193,3 +193,22 @@ def test_plans(spark):
     assert "BroadcastHashJoin" in plan(model.QUERIES["lookup_d1000"](spark, SF))
     for name in ("p1_found", "p3_found", "p4_found", "visible", "run_window_deletes"):
         assert "CartesianProduct" not in plan({**model.QUERIES, **problems.QUERIES}[name](spark, SF))
+
+
+def changed(spark, tmp_path, name, df):
+    """The test tables with another one of this name."""
+    for n in os.listdir(SF):
+        if n != f"{name}.parquet":
+            os.symlink(f"{SF}/{n}", tmp_path / n)
+    df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_null_pk_is_an_orphan(spark, tmp_path):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    e = spark.read.parquet(f"{SF}/eq_delete_rows.parquet")
+    d = changed(spark, tmp_path, "eq_delete_rows", e.unionByName(e.limit(1).withColumn("row_id", F.lit(-1).cast("bigint")).withColumn("pk", F.lit(None).cast("string"))))
+    got = spark_rows(problems.p4_found(spark, d))
+    assert ("eq_delete_rows.pk", "-1", "None") in got[1]
+    assert got == duck_rows(connect(d), problems_sql.SQL["p4_found"])
