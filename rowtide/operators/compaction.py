@@ -212,7 +212,7 @@ def compact_delete_files(delete_files: DataFrame, eq_delete_rows: DataFrame, tab
 
     Every member is one zstandard frame (or several, if it holds a hot share of all rows):
     a line stating path, content, record_count and referenced file, and, of equality deletes on the key,
-    a line for each delivered row (rows delivered twice once, keys repeated within the file as often as they are).
+    a line for each delivered row (rows delivered twice once, keys repeated within the file as often as they are; rows without row_id each).
     Rows: GROUP, out_no, files, records (sum of the known record counts), members, bytes, crc, payload.
     """
     from rowtide.functions import canon
@@ -220,10 +220,11 @@ def compact_delete_files(delete_files: DataFrame, eq_delete_rows: DataFrame, tab
 
     planned = plan_outputs(small_delete_files(delete_files, tables), GROUP, "size", "target")
     stated = planned.select("file_id", F.lit(0).alias("piece"), F.to_json(F.struct("path", "content", F.col("records").alias("record_count"), "referenced"), {"ignoreNullFields": "false"}).alias("line"))
-    rows = eq_delete_rows.groupBy("row_id", "table_id", canon.file_path("file_path").alias("path")).agg(F.max("spec_id").alias("spec_id"), F.max(canon.partition_key("partition_key")).alias("partition_key"), F.max(canon.hex_key("pk")).alias("pk"))
+    numbered = eq_delete_rows.withColumn("_row", F.when(F.col("row_id").isNull(), F.monotonically_increasing_id()))
+    rows = numbered.groupBy("row_id", "_row", "table_id", canon.file_path("file_path").alias("path")).agg(F.max("spec_id").alias("spec_id"), F.max(canon.partition_key("partition_key")).alias("partition_key"), F.max(canon.hex_key("pk")).alias("pk"))
     hot = skew.hot_buckets(eq_delete_rows.select("table_id", canon.file_path("file_path").alias("path")), ["table_id", "path"])
     contents = rows.join(planned.select("table_id", "path", "file_id"), ["table_id", "path"]).select(
-        "file_id", skew.piece(["table_id", "path"], ["row_id"], hot).alias("piece"), F.to_json(F.struct("spec_id", "partition_key", "pk"), {"ignoreNullFields": "false"}).alias("line")
+        "file_id", skew.piece(["table_id", "path"], ["row_id", "_row"], hot).alias("piece"), F.to_json(F.struct("spec_id", "partition_key", "pk"), {"ignoreNullFields": "false"}).alias("line")
     )
     packed = frames(stated.unionByName(contents), ["file_id", "piece"], "line")
     joined = concatenate(planned.select("file_id", "out_no", *GROUP).join(packed, "file_id"), [*GROUP, "out_no"])

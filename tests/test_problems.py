@@ -239,6 +239,19 @@ def test_real_files(spark, tmp_path, kind):
     assert lines == Counter(f"{i},{k}" for i in range(30) if i != 3 for k in range(i))
 
 
+def test_deletes_without_row_id_are_all_kept(spark):
+    import json
+
+    import zstandard
+
+    f = spark.createDataFrame([(i, 1, "EQUALITY_DELETES", "PARQUET", 0, "0a", f"f{i}", [1], None, 3, 300, None) for i in range(2)], "file_id bigint, table_id bigint, content string, file_format string, spec_id int, partition_key string, file_path string, equality_ids array<int>, referenced_data_file string, record_count bigint, file_size_in_bytes bigint, removed_at timestamp")
+    rows = [(None, 1, "f0", 0, "0a", "01"), (None, 1, "f0", 0, "0a", "02"), (None, 1, "f0", 0, "0a", "02"), (7, 1, "f0", 0, "0a", "03"), (7, 1, "f0", 0, "0a", "03")]
+    r = spark.createDataFrame(rows, "row_id bigint, table_id bigint, file_path string, spec_id int, partition_key string, pk string")
+    out = compaction.compact_delete_files(f, r, spark.createDataFrame([(1, 2000)], "table_id bigint, target_delete_file_bytes bigint")).collect()
+    text = "".join(zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(bytes(o.payload)).decode() for o in out)
+    assert sorted(x["pk"] for x in map(json.loads, text.splitlines()) if "pk" in x) == ["01", "02", "02", "03"]
+
+
 # -- 3
 
 
