@@ -420,7 +420,7 @@ def _converted(spark: SparkSession, d: str, version: int, stream: bool) -> DataF
     props = {config.PRIMARY_KEYS: "user_id", config.INDEX_BUCKETS: "8"}
     t = Table.create(spark, f"{root}/t", "event_id bigint, user_id bigint, event_type string", ["event_type"], props, version)
     i = Index.create(spark, root, "index", 8)
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.day("ts").alias("_day"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.coalesce(F.day("ts"), F.lit(1)).alias("_day"))
     if stream:
         source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select("event_id", "user_id", "event_type")
         ingest.upsert_stream(source, t, ["event_id"], f"{root}/checkpoint", f"s{uuid.uuid4().hex}").awaitTermination()

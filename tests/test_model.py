@@ -212,3 +212,11 @@ def test_null_pk_is_an_orphan(spark, tmp_path):
     got = spark_rows(problems.p4_found(spark, d))
     assert ("eq_delete_rows.pk", "-1", "None") in got[1]
     assert got == duck_rows(connect(d), problems_sql.SQL["p4_found"])
+
+
+def test_conversion_keeps_events_without_time(spark, tmp_path):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    e = spark.read.parquet(f"{SF}/events.parquet").limit(6)
+    d = changed(spark, tmp_path, "events", e.withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.col("ts"))))
+    assert spark_rows(model.QUERIES["conversion_v3"](spark, d)) == duck_rows(connect(d), model.SQL["conversion_v3"])
