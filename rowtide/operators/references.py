@@ -33,7 +33,7 @@ def orphans(children: DataFrame, parents: DataFrame, keys: Sequence[str], child:
         ok = ok & F.col(k).isNotNull()
     bad = children.where(~ok | F.col(at).isNull())
     children_ok = children.where(ok & F.col(at).isNotNull())
-    hot = skew.hot_buckets(children_ok, keys)
+    hot = skew.hot_keys(children_ok, keys)
     types = dict(children.dtypes)
     nothing = [F.lit(None).cast(types[c]).alias(c) for c in child]
     kids = children_ok.select(*keys, *child, F.col(at).alias("_t"), F.lit(0).alias("_delta"), F.lit(1).alias("_child"), skew.piece(keys, [*child, at], hot).alias("_piece"))
@@ -47,11 +47,11 @@ def orphans(children: DataFrame, parents: DataFrame, keys: Sequence[str], child:
     return found.unionByName(bad.select(*keys, *child, at))
 
 
-def state_orphans(children: DataFrame, changes: DataFrame, keys: Sequence[str], child: Sequence[str], before: str, seq: str, within: Column, live: str) -> DataFrame:
+def state_orphans(children: DataFrame, changes: DataFrame, keys: Sequence[str], child: Sequence[str], before: str, seq: str, late: Column, within: Column, live: str) -> DataFrame:
     """Children whose key is not live after all changes with ``seq`` below their ``before``.
 
-    The state of a key is that its last change leaves, in the order (seq,
-    within); a key without changes is not live. Children without ``before`` or
+    The state of a key is that its last change leaves, in the order (seq, late, within): ``late`` is a flag, ``within`` a
+    number below 2**62; a key without changes is not live. Children without ``before`` or
     with a null key are orphans. Changes without flag or order are ignored.
 
     Changes first combine to one a key and ``seq``, so the group of a hot key
@@ -62,12 +62,14 @@ def state_orphans(children: DataFrame, changes: DataFrame, keys: Sequence[str],
     for k in keys:
         ok = ok & F.col(k).isNotNull()
     kids_ok = children.where(ok & F.col(before).isNotNull())
-    hot = skew.hot_buckets(kids_ok, keys)
+    hot = skew.hot_keys(kids_ok, keys)
     types = dict(children.dtypes)
     nothing = [F.lit(None).cast(types[c]).alias(c) for c in child]
-    states = changes.where(ok & F.col(seq).isNotNull() & F.col(live).isNotNull()).select(*keys, F.col(seq).cast("bigint").alias("_t"), within.cast("bigint").alias("_w"), F.col(live).alias("_live")).where("_w is not null")
-    # the flag rides in the lowest bit of the order: one fixed-width maximum, hash aggregation with map-side combine
-    states = states.groupBy(*keys, "_t").agg(F.max(F.col("_w") * 2 + F.col("_live").cast("bigint")).alias("_x")).withColumn("_live", F.pmod("_x", F.lit(2)).cast("int"))
+    # the flag rides in the lowest bit of the order: fixed-width maxima, so hash aggregation with map-side combine
+    placed = (within.cast("bigint") * 2 + F.col(live).cast("bigint")).alias("_x")
+    states = changes.where(ok & F.col(seq).isNotNull()).select(*keys, F.col(seq).cast("bigint").alias("_t"), late.alias("_late"), placed).where("_x is not null and _late is not null")
+    states = states.groupBy(*keys, "_t").agg(F.max(F.when(F.col("_late"), F.col("_x"))).alias("_x1"), F.max(F.when(~F.col("_late"), F.col("_x"))).alias("_x0"))
+    states = states.withColumn("_live", F.pmod(F.coalesce("_x1", "_x0"), F.lit(2)).cast("int"))
     states = states.select(*keys, *nothing, "_t", "_live", F.lit(1).alias("_change"), F.explode(skew.all_pieces(keys, hot)).alias("_piece"))
     kids = kids_ok.select(*keys, *child, F.col(before).cast("bigint").alias("_t"), F.lit(None).cast("int").alias("_live"), F.lit(0).alias("_change"), skew.piece(keys, [*child, before], hot).alias("_piece"))
     w = Window.partitionBy(*keys, "_piece").orderBy("_t", "_change").rowsBetween(Window.unboundedPreceding, 0)
