@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Positions in one bitmap. Position p has bit p % BUCKET of the bucket p // BUCKET + 1.
+BUCKET = 32768
+
+
 def position_sets(positions: DataFrame, by: Sequence[str], pos: str = "pos") -> DataFrame:
     """by, bucket, bits: the set of positions of each group. Repeats collapse; null and negative positions are ignored."""
     p = positions.where(F.col(pos) >= 0).withColumn("_p", F.col(pos) + 1)

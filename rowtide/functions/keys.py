@@ -34,41 +34,41 @@ def from_hex(s: Column | str) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("not hex: "), c)).cast("binary")).otherwise(F.unhex(c))
 
 
-def _byte(n: Column) -> Column:
-    return F.lpad(F.lower(F.hex(n)), 2, "0")
+# SQL text, since an expression of a few hundred nodes is one call to the JVM that way and a few hundred otherwise
 
 
-def _varint(z: Column) -> Column:
+def _byte(n: str) -> str:
+    return f"lpad(lower(hex({n})), 2, '0')"
+
+
+def _varint(z: str) -> str:
     """Hex of an unsigned 64-bit number in groups of seven bits, lowest first."""
     parts = []
     for i in range(10):
-        rest = F.shiftrightunsigned(z, 7 * i)
-        more = F.shiftrightunsigned(z, 7 * (i + 1)) if i < 9 else F.lit(0).cast("bigint")
-        byte = rest.bitwiseAND(F.lit(127)) + F.when(more != 0, F.lit(128)).otherwise(F.lit(0))
-        parts.append(_byte(byte) if i == 0 else F.when(rest != 0, _byte(byte)).otherwise(F.lit("")))
-    return F.concat(*parts)
+        rest = f"shiftrightunsigned({z}, {7 * i})"
+        more = f"shiftrightunsigned({z}, {7 * (i + 1)})" if i < 9 else "0L"
+        byte = _byte(f"({rest} & 127) + if({more} <> 0, 128, 0)")
+        parts.append(byte if i == 0 else f"if({rest} <> 0, {byte}, '')")
+    return f"concat({', '.join(parts)})"
 
 
-def _long(c: Column) -> Column:
-    n = c.cast("bigint")
-    return _varint(F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63)))
+def _long(c: str) -> str:
+    return _varint(f"(shiftleft(cast({c} as bigint), 1) ^ shiftright(cast({c} as bigint), 63))")
 
 
-def _value(c: Column, kind: T.DataType) -> Column | None:
+def _value(c: str, kind: T.DataType) -> str | None:
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return _long(c)
-    if isinstance(kind, T.StringType):
-        return F.concat(_long(F.octet_length(c)), to_hex(c.cast("binary")))
-    if isinstance(kind, T.BinaryType):
-        return F.concat(_long(F.octet_length(c)), to_hex(c))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return f"concat({_long(f'octet_length({c})')}, lower(hex(cast({c} as binary))))"
     if isinstance(kind, T.BooleanType):
-        return F.when(c, "01").otherwise("00")
+        return f"if({c}, '01', '00')"
     if isinstance(kind, T.DateType):
-        return _long(F.unix_date(c))
+        return _long(f"unix_date({c})")
     if isinstance(kind, T.TimestampType):
-        return _long(F.unix_micros(c))
+        return _long(f"unix_micros({c})")
     if isinstance(kind, T.TimestampNTZType):
-        return _long(F.unix_micros(F.from_utc_timestamp(c.cast("string").cast("timestamp"), F.lit("UTC"))))
+        return _long(f"unix_micros(from_utc_timestamp(cast(cast({c} as string) as timestamp), 'UTC'))")
     return None
 
 
@@ -90,11 +90,12 @@ def key_hex(schema: T.StructType) -> Column:
         return F.lit("")
     parts = []
     for f in schema.fields:
-        v = _value(F.col(f.name), f.dataType)
+        name = "`" + f.name.replace("`", "``") + "`"
+        v = _value(name, f.dataType)
         if v is None:
             return encode_udf(schema)(F.struct(*[F.col(x.name) for x in schema.fields]))
-        parts.append(F.when(F.col(f.name).isNull(), "00").otherwise(F.concat(F.lit("02"), v)) if f.nullable else v)
-    return F.concat(*parts)
+        parts.append(f"if({name} is null, '00', concat('02', {v}))" if f.nullable else v)
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 # -- the codec in Python: for types without an expression, for decoding, and for tests

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowtide.session import cut, local_rows
+
 #: Probes up to this many keys become an IN list, which prunes buckets, files and row groups.
-IN_KEYS = 1_000
-#: Probes up to this many rows (of about 100 bytes) are broadcast; the size is checked before.
-BROADCAST_KEYS = 500_000
+IN_KEYS = 100
+#: Probes up to this many keys are taken to the driver at the first look, which need not be repeated then.
+LOCAL_KEYS = 1_000
+#: What is broadcast has no more bytes than this; they are measured before.
+BROADCAST_BYTES = 64 << 20
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -58,36 +62,51 @@ def as_of(probes: DataFrame, index: DataFrame, keys: Sequence[str], seq: str) ->
     return both.where("_probe = 1 and matches > 0").drop("_probe")
 
 
-def strategy(size: int) -> str:
-    """How to look up so many keys: in, broadcast, or merge."""
-    return "in" if size <= IN_KEYS else "broadcast" if size <= BROADCAST_KEYS else "merge"
+def measured_bytes(df: DataFrame) -> int:
+    """About the bytes of all rows: texts, whatever their length, and 16 for anything else."""
+    kinds = dict(df.dtypes)
+    size = F.lit(16)
+    for c, kind in kinds.items():
+        plain = F.col(c) if kind in ("string", "binary") else F.to_json(F.struct(c)) if kind.startswith("struct") else None
+        size = size + (F.lit(16) if plain is None else F.coalesce(F.octet_length(plain), F.lit(0)) + 16)
+    return df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df``, which should be materialised, with a broadcast hint if its measured bytes are in bounds."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
 def lookup(probe: DataFrame, index: DataFrame, keys: Sequence[str], pushed: str, how: str | None = None) -> DataFrame:
     """The index rows of the probe's keys; misses give nothing, repeated probes nothing more.
 
-    ``pushed`` is the key column whose values go into the scan of the index when there are few. The size
-    of the probe is measured unless ``how`` says what to do; an "in" or "broadcast" beyond its bound is
-    refused, not tried.
+    ``pushed`` is the key column whose values go into the scan of the index when there are few. Unless ``how`` says what to do, the
+    distinct keys are looked at once: up to LOCAL_KEYS come to the driver, and are an IN list (up to IN_KEYS) or a broadcast without a
+    further job; more are materialised, measured, and broadcast within BROADCAST_BYTES, else merged. An "in" beyond LOCAL_KEYS or a "broadcast" beyond
+    its bytes is refused, not tried.
     """
     p = probe.select(*keys).distinct()
-    if how is None:
-        how = strategy(p.limit(BROADCAST_KEYS + 1).count())
-    if how == "in":
-        found = p.limit(IN_KEYS + 1).collect()
-        if len(found) > IN_KEYS:
+    if how not in (None, "in", "broadcast", "merge"):
+        raise ValueError(how)
+    if how in (None, "in"):
+        found = p.limit(LOCAL_KEYS + 1).collect()
+        if len(found) <= LOCAL_KEYS:
+            here = local_rows(p.sparkSession, found, p.schema)
+            if how == "in" or len(found) <= IN_KEYS:
+                hits = index.where(F.col(pushed).isin(sorted({r[pushed] for r in found if r[pushed] is not None})))
+                return hits if list(keys) == [pushed] else hits.join(F.broadcast(here), list(keys), "left_semi")
+            if sum(len(str(v)) + 16 for r in found for v in r) <= BROADCAST_BYTES:
+                return index.join(F.broadcast(here), list(keys), "left_semi")
+        elif how == "in":
             raise ValueError("too many keys for an IN list")
-        hits = index.where(F.col(pushed).isin(sorted({r[pushed] for r in found if r[pushed] is not None})))
-        if list(keys) == [pushed]:
-            return hits
-        return hits.join(F.broadcast(index.sparkSession.createDataFrame(found, p.schema)), list(keys), "left_semi")
-    if how == "broadcast":
-        if p.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
-            raise ValueError("too many keys to broadcast")
-        return index.join(F.broadcast(p), list(keys), "left_semi")
     if how == "merge":
         return index.join(p.hint("merge"), list(keys), "left_semi")
-    raise ValueError(how)
+    p = cut(p)
+    if measured_bytes(p) <= BROADCAST_BYTES:
+        return index.join(F.broadcast(p), list(keys), "left_semi")
+    if how == "broadcast":
+        raise ValueError("too many bytes to broadcast")
+    return index.join(p.hint("merge"), list(keys), "left_semi")
 
 
 def without(rows: DataFrame, positions: DataFrame, on: Sequence[str] = ("data_file_path", "pos")) -> DataFrame:
@@ -95,10 +114,15 @@ def without(rows: DataFrame, positions: DataFrame, on: Sequence[str] = ("data_fi
     return rows.join(positions.select(*on), list(on), "left_anti")
 
 
+def row_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of ``a`` that ``b`` does not have, as often as ``a`` has more of them; nulls equal each other, columns go by name."""
+    names = sorted(a.columns)
+    return a.select(*names).exceptAll(b.select(*names))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two DataFrames hold the same rows as often; stops at the first difference found."""
-    a, b = a.select(*sorted(a.columns)), b.select(*sorted(b.columns))
-    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+    return not row_difference(a, b).limit(1).count() and not row_difference(b, a).limit(1).count()
 
 
 def spec_of(seq: Column | str, change_at: int) -> Column:

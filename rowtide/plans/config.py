@@ -10,8 +10,11 @@ from rowtide.functions.keys import comma_list
 PRIMARY_KEYS = "rowtide.primary-keys"
 INDEX_BUCKETS = "rowtide.index-buckets"
 LAST_SEQ, LAST_KIND = "rowtide.last-processed-sequence", "rowtide.last-processed-kind"
+#: The version a run was planned on: files of later versions must lie past the watermark.
+LAST_VERSION = "rowtide.last-processed-version"
 PINNED_KEYS, PINNED_BUCKETS = "rowtide.pinned-primary-keys", "rowtide.pinned-index-buckets"
 DATA_FORMAT, DELETE_FORMAT = "write.format.default", "write.delete.format.default"
+DELETE_TARGET, DEFAULT_DELETE_TARGET = "rowtide.delete-target-file-bytes", 512 << 20
 CONVERTED = "rowtide-converted"
 DEFAULT_BUCKETS = 1
 FORMAT_VERSIONS = (2, 3)
@@ -22,6 +25,10 @@ class ConfigError(ValueError):
     """A table that must not be processed as it is configured."""
 
 
+class LateCommit(ConfigError):
+    """A file that was committed after the walk had passed its place; the index has to be made anew from an earlier watermark."""
+
+
 @dataclass(frozen=True, order=True)
 class State:
     """A place in the walk: all files up to it are processed. Kinds order EQ_DEL before DATA."""
@@ -73,3 +80,11 @@ def check_version(format_version: int) -> None:
 def delete_format(properties: Mapping[str, str]) -> str:
     """The format of position deletes: that of deletes, else that of data, else parquet."""
     return properties.get(DELETE_FORMAT) or properties.get(DATA_FORMAT) or "parquet"
+
+
+def delete_target(properties: Mapping[str, str]) -> int:
+    """The size beyond which position deletes of one data file go into another delete file."""
+    n = int(properties.get(DELETE_TARGET, DEFAULT_DELETE_TARGET))
+    if n < 1:
+        raise ConfigError(f"{DELETE_TARGET} must be positive")
+    return n

@@ -49,13 +49,15 @@ def next_run(files: DataFrame, state: State) -> DataFrame:
     return rest.join(F.broadcast(first), inside).drop("_kind", "_max")
 
 
-def run_deletes(run: DataFrame, deletes: DataFrame, max_seq: Column) -> DataFrame:
+def run_deletes(run: DataFrame, deletes: DataFrame, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """The position deletes and vectors that apply to a DATA run's files: all up to the end of the run.
 
-    Both have path resp. referenced; a delete of a file outside the run, or one that names no file, is not used. The
-    lower end is open: deletes committed together with the run's first files count.
+    ``run`` has path and max_seq, deletes have referenced and seq, both ``by`` columns (such as table_id); ``keep`` columns of the run come
+    with each delete. A delete of a file outside the run, or one that names no file, is not used. The
+    lower end is open: deletes committed together with the run's first files count. A path is in a run once.
     """
-    return deletes.where(F.col("referenced").isNotNull() & (F.col("seq") <= max_seq)).join(run.select(F.col("path").alias("referenced")), "referenced", "left_semi")
+    files = run.select(*by, F.col("path").alias("referenced"), F.col("max_seq").alias("_end"), *keep)
+    return deletes.where(F.col("referenced").isNotNull()).join(files, [*by, "referenced"]).where(F.col("seq") <= F.col("_end")).drop("_end")
 
 
 def touched(partitions: DataFrame, files: DataFrame, columns: Sequence[str] = ("spec_id", "partition_key")) -> DataFrame:
@@ -70,6 +72,12 @@ def existing_deletes(deletes: DataFrame, touched_partitions: DataFrame, format_v
     return touched(touched_partitions, live.where(kind))
 
 
-def assemble(outputs: DataFrame, rewritten: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a commit adds and removes: all new delete files; each rewritten one once, by its location."""
-    return outputs, rewritten.dropDuplicates(["path", "referenced"])
+def late(state: State, version: Column, processed: int) -> Column:
+    """Files that came after the watermark was set, but belong before it: the walk would never come to them."""
+    return (version > processed) & ~after(state)
+
+
+def assemble(outputs: DataFrame, eq_deletes: DataFrame, rewritten: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a conversion's commit adds and removes: all new delete files; the converted equality deletes, and each rewritten delete file once, by its location."""
+    place = ["path", "referenced", "content"]
+    return outputs, eq_deletes.select(*place).unionByName(rewritten.select(*place)).dropDuplicates(["path", "referenced"])

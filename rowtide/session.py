@@ -6,9 +6,13 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -51,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_rows(spark: SparkSession, rows: Sequence, schema: T.StructType) -> DataFrame:
+    """Rows that the driver has already, as a relation in the plan itself: no job is needed to broadcast them."""
+    names = schema.names
+    columns = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    return spark.createDataFrame(pa.Table.from_pydict(columns, to_arrow_schema(schema)), schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors' Python workers, once a session; needed where it is not installed there."""
     sc = spark.sparkContext

@@ -49,41 +49,105 @@ def _value(b: bytes, at: int, kind):
     raise ValueError(f"type {kind} is not supported")
 
 
-def read(path: str) -> Iterator[dict]:
-    """The records of one file in their order, so that counting them gives positions."""
-    with open(path, "rb") as f:
-        b = f.read()
+def _header(f) -> tuple[list[dict], str, bytes]:
+    """fields, codec and sync marker of an open file, which is left at its first block."""
+    b, at = b"", 0
+
+    def need(n: int) -> None:
+        nonlocal b
+        while len(b) - at < n:
+            more = f.read(1 << 16)
+            if not more:
+                raise ValueError("an Avro header is cut off")
+            b += more
+
+    def number() -> int:
+        nonlocal at
+        k = 1
+        while True:
+            need(k)
+            if not b[at + k - 1] & 128:
+                break
+            k += 1
+        n, at = _read_long(b, at)
+        return n
+
+    def raw() -> bytes:
+        nonlocal at
+        n = number()
+        need(n)
+        out, at = b[at : at + n], at + n
+        return out
+
+    need(4)
     if b[:4] != MAGIC:
-        raise ValueError(f"{path} is no Avro file")
+        raise ValueError("no Avro file")
     at, meta = 4, {}
-    while True:
-        n, at = _read_long(b, at)
-        if n == 0:
-            break
+    while n := number():
         if n < 0:
             n = -n
-            _, at = _read_long(b, at)
+            number()
         for _ in range(n):
-            key, at = _bytes(b, at)
-            meta[key.decode()], at = _bytes(b, at)
+            key = raw().decode()
+            meta[key] = raw()
+    need(16)
     sync, at = b[at : at + 16], at + 16
-    fields = json.loads(meta["avro.schema"])["fields"]
+    f.seek(at)
     codec = meta.get("avro.codec", b"null").decode()
     if codec not in ("null", "deflate"):
         raise ValueError(f"codec {codec} is not supported")
-    while at < len(b):
-        n, at = _read_long(b, at)
-        block, at = _bytes(b, at)
-        if b[at : at + 16] != sync:
-            raise ValueError(f"{path} is damaged")
-        at += 16
-        block = zlib.decompress(block, -15) if codec == "deflate" else block
-        p = 0
-        for _ in range(n):
-            row = {}
-            for f in fields:
-                row[f["name"]], p = _value(block, p, f["type"])
-            yield row
+    return json.loads(meta["avro.schema"])["fields"], codec, sync
+
+
+def _block(f) -> tuple[int, int] | None:
+    """Rows and bytes of the block that begins here, None at the end; the file is left at its content."""
+    at = f.tell()
+    head = f.read(20)
+    if not head:
+        return None
+    n, k = _read_long(head, 0)
+    size, k = _read_long(head, k)
+    f.seek(at + k)
+    return n, size
+
+
+def blocks(path: str) -> Iterator[tuple[int, int, int]]:
+    """offset, first row and rows of each block, from the headers of the blocks only: contents are passed over."""
+    with open(path, "rb") as f:
+        _, _, sync = _header(f)
+        row = 0
+        while True:
+            at = f.tell()
+            if (head := _block(f)) is None:
+                return
+            n, size = head
+            f.seek(size, os.SEEK_CUR)
+            if f.read(16) != sync:
+                raise ValueError(f"{path} is damaged")
+            yield at, row, n
+            row += n
+
+
+def read(path: str, offset: int | None = None) -> Iterator[dict]:
+    """The records of one file in their order, or of the one block that begins at ``offset``; one block is held at a time."""
+    with open(path, "rb") as f:
+        fields, codec, sync = _header(f)
+        if offset is not None:
+            f.seek(offset)
+        while (head := _block(f)) is not None:
+            n, size = head
+            block = f.read(size)
+            if len(block) != size or f.read(16) != sync:
+                raise ValueError(f"{path} is damaged")
+            block = zlib.decompress(block, -15) if codec == "deflate" else block
+            p = 0
+            for _ in range(n):
+                row = {}
+                for x in fields:
+                    row[x["name"]], p = _value(block, p, x["type"])
+                yield row
+            if offset is not None:
+                return
 
 
 _PLAIN = {"long": _zigzag, "int": _zigzag, "string": lambda v: _zigzag(len(v.encode())) + v.encode(), "bytes": lambda v: _zigzag(len(v)) + v, "boolean": lambda v: b"\1" if v else b"\0", "double": lambda v: struct.pack("<d", v)}
