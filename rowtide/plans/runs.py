@@ -34,10 +34,14 @@ def walkable(table, meta) -> DataFrame:
 
 
 def plan_next(table, meta) -> Run | None:
-    """The first run after the watermark; None if all is processed. Unfit or drifted tables raise ConfigError."""
+    """The first run after the watermark; None if all is processed. Unfit or drifted tables raise ConfigError, files that came too late LateCommit."""
     config.check_version(meta.format_version)
     conf = TableConfig.of(meta.properties)
     conf.check_stable(meta.properties)
-    files = planner.next_run(walkable(table, meta), State.of(meta.properties))
+    state, walk = State.of(meta.properties), walkable(table, meta)
+    if processed := int(meta.properties.get(config.LAST_VERSION, 0)):
+        if missed := walk.where(planner.late(state, F.col("version"), processed)).limit(1).collect():
+            raise config.LateCommit(f"{missed[0].path} has sequence number {missed[0].seq}, the watermark is {state.seq}")
+    files = planner.next_run(walk, state)
     first = files.agg(F.max("kind").alias("kind"), F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n"), F.sum("records").alias("records")).first()
     return Run(first.kind, first.seq, files, first.n, first.records or 0) if first.n else None

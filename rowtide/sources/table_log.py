@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtide.functions.keys import key_hex
-from rowtide.operators import manifest_diff
+from rowtide.operators import lookup, manifest_diff
 from rowtide.plans import config
 from rowtide.plans.config import TableConfig
 from rowtide.session import cut
@@ -122,6 +122,12 @@ class Table:
                 out.setdefault(m.snapshot_id, m)
         return list(out.values())
 
+    def close(self) -> None:
+        """Gives up the cached listing; the table can still be used."""
+        if self._listing is not None:
+            self._listing[1].unpersist()
+            self._listing = None
+
     # -- files
 
     def files(self, meta: Meta | None = None, content: str | Sequence[str] | None = None) -> DataFrame:
@@ -134,8 +140,7 @@ class Table:
             return self.spark.createDataFrame([], ENTRY + ", version bigint").drop("action")
         key = tuple(meta.manifests)
         if self._listing is None or self._listing[0] != key:
-            if self._listing is not None:
-                self._listing[1].unpersist()
+            self.close()
             df = self.spark.read.schema(ENTRY + ", version bigint").parquet(*[os.path.join(self.path, "manifests", m) for m in key])
             w = Window.partitionBy("path", "referenced").orderBy(F.col("version").desc(), F.col("action"))
             live = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 and action = 'add'").drop("_rn", "action")
@@ -143,16 +148,19 @@ class Table:
         df = self._listing[1]
         return df if content is None else df.where(F.col("content").isin(*([content] if isinstance(content, str) else content)))
 
-    def commit(self, base: Meta, adds: DataFrame | None = None, removes: DataFrame | None = None, properties: Mapping[str, str] | None = None, summary: Mapping[str, str] | None = None, new_seq: bool = True, must_keep: bool = True, **changes) -> Meta:
+    def commit(self, base: Meta, adds: DataFrame | None = None, removes: DataFrame | None = None, properties: Mapping[str, str] | None = None, summary: Mapping[str, str] | None = None, new_seq: bool = True, must_keep: bool = True, expect: int | None = None, **changes) -> Meta:
         """The next version after the head: ``adds`` and ``removes`` are ENTRY rows without action (adds without seq get the new one).
 
         If the head is not ``base`` any more, the commit goes on top of it only if every removed file is
         still live and no new vector or file-scoped delete names a file that ``adds`` brings one for; else Conflict. Data files that
-        vanished meanwhile are no conflict. Without adds, removes, properties or changes nothing is written.
+        vanished meanwhile are no conflict. Without adds, removes, properties or changes nothing is written. With ``expect`` the new version
+        follows that version and no other: the link fails if anybody committed since.
         """
         if adds is None and removes is None and not properties and not changes:
             return base
         head = self.meta()
+        if expect is not None and head.version != expect:
+            raise Conflict(f"{self.path} is at version {head.version}, not {expect}")
         seq = head.seq + 1 if new_seq and (adds is not None or removes is not None) else head.seq
         version = head.version + 1
         manifests = list(head.manifests)
@@ -208,23 +216,14 @@ class Table:
         writer = (w.repartition(*copies.keys()) if copies else w).write.format(fmt)
         (writer.partitionBy(*copies) if copies else writer).save(out)
         key = key_hex(meta.partition_struct())
-        names = self._listed(out, fmt)
-        if not names:
+        if next(Path(out).rglob(f"*.{fmt}"), None) is None:
             return self.spark.createDataFrame([], ENTRY).drop("action", "content", "seq")
-        stats = self._stats(names, columns, meta, fmt, spec, key)
-        sizes = self.spark.createDataFrame([(p, os.path.getsize(p)) for p in names], "path string, bytes bigint")
-        return stats.join(sizes, "path").select("path", F.lit(fmt).alias("format"), F.lit(meta.spec_id).alias("spec_id"), "partition_key", "records", "bytes")
-
-    def _listed(self, out: str, fmt: str) -> list[str]:
-        return sorted(str(p) for p in Path(out).rglob(f"*.{fmt}") if p.stat().st_size)
-
-    def _stats(self, names: list[str], columns: Sequence[str], meta: Meta, fmt: str, spec: list[str], key) -> DataFrame:
-        s = meta.struct
-        want = T.StructType([s[c] for c in columns])
-        # a file holds one partition, so any of its rows tells it
-        df = self.spark.read.schema(want).format(fmt).load(names).select(scans.scanned_path().alias("path"), *[F.col(c) for c in spec])
-        g = df.groupBy("path").agg(F.count(F.lit(1)).alias("records"), *[F.first(c).alias(c) for c in spec])
-        return g.select("path", "records", key.alias("partition_key"))
+        # the folder is new, so all of it is read; a file holds one partition, so any of its rows tells it
+        want = T.StructType([meta.struct[c] for c in columns])
+        df = self.spark.read.schema(want).format(fmt).option("recursiveFileLookup", "true").load(out)
+        df = df.select(scans.scanned_path().alias("path"), F.col("_metadata.file_size").alias("bytes"), *[F.col(c) for c in spec])
+        g = df.groupBy("path").agg(F.count(F.lit(1)).alias("records"), F.max("bytes").alias("bytes"), *[F.first(c).alias(c) for c in spec])
+        return g.select("path", F.lit(fmt).alias("format"), F.lit(meta.spec_id).alias("spec_id"), key.alias("partition_key"), "records", "bytes")
 
     def append(self, df: DataFrame, properties: Mapping[str, str] | None = None, **how) -> Meta:
         return self.write(df, None, properties=properties, **how)
@@ -281,27 +280,39 @@ class Table:
         columns = list(columns or meta.struct.names)
         return self.live(self.files(meta), meta, columns).select(*columns)
 
-    def live(self, every: DataFrame, meta: Meta, columns: Sequence[str] | None = None) -> DataFrame:
-        """data_file_path, pos and ``columns`` of the rows of the data files in ``every`` that no delete in ``every`` hits."""
+    def live(self, every: DataFrame, meta: Meta, columns: Sequence[str] | None = None, carry: Sequence[str] = ()) -> DataFrame:
+        """data_file_path, pos, ``carry`` columns of the listing and ``columns`` of the rows of the data files in ``every`` that no delete in ``every`` hits.
+
+        Position deletes and vectors are tested in the task that scans the file (see ``scans.rows``), so they cost no shuffle of rows. Equality deletes
+        are joined on their key, the last delete of each; they are broadcast while their measured size allows.
+        """
+        from rowtide.sources import delete_writers
+
         columns = list(columns or meta.struct.names)
-        deletes = every.where("content in ('pos', 'dv')")
         eq = every.where("content = 'eq'")
-        sets = [tuple(r.field_ids) for r in eq.select("field_ids").distinct().collect()]
+        kinds = every.select("content", "field_ids", F.col("referenced").isNull().alias("loose")).distinct().collect()
+        sets = sorted({tuple(r.field_ids) for r in kinds if r.content == "eq"})
         names = meta.struct.names
         need = list(dict.fromkeys([*columns, *[names[i - 1] for s in sets for i in s]]))
-        data = every.where("content = 'data'")
-        r = self.scan(data, meta, need)
-        if deletes.limit(1).count():
-            r = scans.without_positions(r, scans.position_deletes(self.spark, deletes))
-        if sets:
-            r = r.join(data.select(F.col("path").alias("data_file_path"), F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.col("seq").alias("_seq")), "data_file_path")
+        data, dead = every.where("content = 'data'"), every.where("content in ('pos', 'dv')")
+        named = dead.where("referenced is not null").select("content", "path", "referenced", "offset", "size")
+        if any(r.content == "pos" and r.loose for r in kinds):
+            named = named.unionByName(delete_writers.as_vectors(self, meta, data, dead.where("referenced is null")))
+        elif not any(r.content in ("pos", "dv") for r in kinds):
+            named = None
+        own = [c for c in ("spec_id", "partition_key", "seq") if sets and c not in carry]
+        # the listing's columns under names that no table column has
+        place = [*carry, *own]
+        listed = data.select("path", "format", *[F.col(c).alias(f"_f_{c}") for c in place])
+        r = scans.rows(self.spark, listed, meta.struct, need, [f"_f_{c}" for c in place], named)
         for ids in sets:
             key = T.StructType([meta.struct[names[i - 1]] for i in ids])
             keys = scans.equality_deletes(self.spark, eq.where(F.col("field_ids") == F.array(*[F.lit(i) for i in ids])), key)
-            last = keys.groupBy(F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.struct(*key.names).alias("_k")).agg(F.max("seq").alias("_dead"))
+            last = cut(keys.groupBy(F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.struct(*key.names).alias("_k")).agg(F.max("seq").alias("_dead")))
             # any later delete is one later than the last, so one row a key decides
-            r = r.withColumn("_k", F.struct(*key.names)).join(last, ["_spec", "_part", "_k"], "left").where("_dead is null or _dead <= _seq").drop("_dead", "_k")
-        return r.select("data_file_path", "pos", *columns)
+            same = (F.col("_f_spec_id") == F.col("_spec")) & (F.col("_f_partition_key") == F.col("_part")) & (F.struct(*key.names) == F.col("_k"))
+            r = r.join(lookup.broadcast_if_small(last), same, "left").where("_dead is null or _dead <= _f_seq").drop("_dead", "_k", "_spec", "_part")
+        return r.select("data_file_path", "pos", *[F.col(f"_f_{c}").alias(c) for c in carry], *columns)
 
 
 def _touched(spark: SparkSession, was: DataFrame, now: DataFrame) -> DataFrame:
@@ -346,7 +357,7 @@ def process_new(spark: SparkSession, source: Table, sink: Table, transform, name
     # small, and used many times
     now = cut(source.files(head))
     was = cut(source.files(processed)) if done else now.limit(0)
-    touched = spark.createDataFrame([(r.path,) for r in _touched(spark, was, now).collect()], "_p string")
+    touched = cut(_touched(spark, was, now).select(F.col("path").alias("_p")))
 
     def rows(every: DataFrame, meta: Meta) -> DataFrame:
         # equality deletes and those that name no file may hit any
@@ -363,9 +374,7 @@ def process_new(spark: SparkSession, source: Table, sink: Table, transform, name
     if went is not None and went.limit(1).count():
         merged, removes = delete_writers.merged(sink, base, sink.files(base), cut(_equal_rows(sink, base, transform(went))))
         adds = adds.unionByName(merged, allowMissingColumns=True)
-    if sink.meta().version != base.version:
-        raise Conflict("the sink moved on")
-    return sink.commit(base, adds, removes, {prop: str(head.version)}, {"processed": f"{name}:{head.version}"})
+    return sink.commit(base, adds, removes, {prop: str(head.version)}, {"processed": f"{name}:{head.version}"}, expect=base.version)
 
 
 def _equal_rows(table: Table, meta: Meta, rows: DataFrame) -> DataFrame:
