@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import zlib
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtide.functions import canon
-from rowtide.operators import cdc, compaction, manifest_diff, references, selection
+from rowtide.operators import cdc, compaction, manifest_diff, references, selection, skew
+from rowtide.plans import config
 from rowtide.queries.common import table
+from rowtide.session import cut, shared_dir
+from rowtide.sources.index_store import Index
+from rowtide.sources.scans import local
+from rowtide.sources.table_log import Table, process_new
+from rowtide.streaming import engine
 
 KEY = ["table_id", "spec_id", "partition_key", "pk"]
 
@@ -31,6 +41,42 @@ def p1_deltas_since(spark: SparkSession, d: str) -> DataFrame:
     return manifest_diff.version_deltas(*_files(spark, d), since=True)
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The sink of incremental steps over a source that gets appends, upserts, position deletes, equality deletes and vectors, with a crash before a commit.
+
+    The events are the source: days 1 to 10 appended, 11 to 20 upserted by (event_type, user_id), events divisible by 7 deleted by position, views of users
+    divisible by 5 by an equality delete, 21 to 31 upserted; then the equality deletes are converted to vectors.
+    """
+    root = os.path.join(local(shared_dir(spark)), f"rowtide-{uuid.uuid4().hex}")
+    schema, props = "event_id bigint, user_id bigint, event_type string", {config.PRIMARY_KEYS: "user_id", config.INDEX_BUCKETS: "8"}
+    source, sink = (Table.create(spark, f"{root}/{n}", schema, ["event_type"], props) for n in ("source", "sink"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.coalesce(F.day("ts"), F.lit(1)).alias("_day"))
+    days = lambda low, high: e.where(F.col("_day").between(low, high)).drop("_day")
+
+    class Dies(Table):
+        def commit(self, *args, **how):
+            raise OSError("killed")
+
+    def step() -> None:
+        try:
+            process_new(spark, source, Dies(spark, sink.path), lambda df: df)
+        except OSError:
+            process_new(spark, source, sink, lambda df: df)
+
+    source.append(days(1, 10))
+    step()
+    source.upsert(days(11, 20), ["event_id"])
+    step()
+    head = source.meta()
+    source.write(positions=source.live(source.files(head), head).where("event_id % 7 = 0").select("data_file_path", "pos"))
+    source.write(delete_keys=e.where("event_type = 'view' and user_id % 5 = 0").select("user_id", "event_type"))
+    step()
+    source.upsert(days(21, 31), ["event_id"])
+    engine.process_all(source, Index.create(spark, root, "index", 8, every=True))
+    step()
+    return sink.visible()
+
+
 def _compacted(spark: SparkSession, d: str) -> DataFrame:
     return compaction.compact_delete_files(table(spark, d, "delete_files"), table(spark, d, "eq_delete_rows"), table(spark, d, "ice_tables"))
 
@@ -51,6 +97,51 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.sum("files").alias("files"), F.sum("records").alias("records"))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same for real files: each small delete file is written to the shared folder, joined there, and read again from the joined files.
+
+    Rows: table_id, files, records (as stated), deletes (rows of equality deletes found in the outputs).
+    """
+    root = os.path.join(local(shared_dir(spark)), f"rowtide-{uuid.uuid4().hex}")
+    small = compaction.small_delete_files(table(spark, d, "delete_files"), table(spark, d, "ice_tables"))
+    frames = compaction.delete_frames(small, table(spark, d, "eq_delete_rows")).select("table_id", "file_id", "piece", "frame")
+    listing = cut(frames.mapInPandas(_write_frames(root), "path string, length bigint, crc bigint"))
+    joined = compaction.compact_paths(spark, listing, f"{root}/joined", target=1 << 20)
+    lines = joined.select("out_path", "members").mapInPandas(_read_lines, "path string, line string")
+    x = lines.select(F.regexp_extract("path", r"/(\d+)-\d+-\d+$", 1).cast("bigint").alias("table_id"), F.from_json("line", "record_count bigint, path string, pk string, spec_id int").alias("j"), F.col("line").contains('"record_count"').alias("head"))
+    return x.groupBy("table_id").agg(F.count(F.when(F.col("head"), 1)).alias("files"), F.sum(F.when(F.col("head"), F.col("j.record_count"))).alias("records"), F.count(F.when(~F.col("head"), 1)).alias("deletes"))
+
+
+def _write_frames(root: str):
+    def run(batches):
+        for b in batches:
+            made = []
+            for t, f, piece, frame in b.itertuples(index=False, name=None):
+                folder = os.path.join(root, "small", str(f % 256))
+                os.makedirs(folder, exist_ok=True)
+                out = os.path.join(folder, f"{t}-{f}-{piece}")
+                with open(f"{out}.{uuid.uuid4().hex}", "wb") as w:
+                    w.write(frame)
+                os.replace(w.name, out)
+                made.append((out, len(frame), zlib.crc32(frame)))
+            yield pd.DataFrame(made, columns=["path", "length", "crc"])
+
+    return run
+
+
+def _read_lines(batches):
+    """The lines of each member, cut out of the joined files."""
+    import zstandard
+
+    for b in batches:
+        for out, members in zip(b["out_path"], b["members"]):
+            with open(out, "rb") as f:
+                for m in members:
+                    f.seek(m["offset"])
+                    text = zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(f.read(m["length"])).decode()
+                    yield pd.DataFrame({"path": m["path"], "line": text.splitlines()})
+
+
 def _key_fields(changes: DataFrame, *columns: str) -> DataFrame:
     """Both key fields of every delivered change in long form, null paths too."""
     fields = F.array(F.struct(F.lit("partition_key").alias("key_field"), canon.partition_key("partition_key").alias("key_value")), F.struct(F.lit("data_file_path").alias("key_field"), canon.file_path("data_file_path").alias("key_value")))
@@ -85,10 +176,8 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     by_path = references.orphans(children, data.unionByName(eq), ["ref_field", "table_id", "path"], ["ref_id"])
     files = delete_files.groupBy("table_id", canon.file_path("file_path").alias("path")).agg(F.max("data_sequence_number").alias("dsn"), F.max("added_at").alias("added_at"))
     rows = deleted.select("row_id", "table_id", "spec_id", canon.partition_key("partition_key").alias("partition_key"), canon.hex_key("pk").alias("pk"), canon.file_path("file_path").alias("path"))
-    rows = rows.join(files, ["table_id", "path"], "left").drop("path")
-    states = _changes(spark, d)
-    within = F.col("kind") * F.lit(1 << 40) + F.col("ordinal")
-    by_pk = references.state_orphans(rows, states, KEY, ["row_id", "added_at"], "dsn", "sequence_number", within, "live")
+    rows = skew.join(rows, files, ["table_id", "path"], ["row_id", "pk"], "left").drop("path")
+    by_pk = references.state_orphans(rows, _changes(spark, d), KEY, ["row_id", "added_at"], "dsn", "sequence_number", F.col("kind") == 1, F.col("ordinal"), "live")
     return by_path.select("ref_field", "table_id", "ref_id", F.col("path").alias("ref_value"), F.to_date("at").alias("day")).unionByName(
         by_pk.select(F.lit("eq_delete_rows.pk").alias("ref_field"), "table_id", F.col("row_id").alias("ref_id"), F.col("pk").alias("ref_value"), F.to_date("added_at").alias("day"))
     )
@@ -125,4 +214,4 @@ def p5_live_per_table(spark: SparkSession, d: str) -> DataFrame:
     return p5_found(spark, d).groupBy("table_id").agg(F.count(F.lit(1)).alias("live_keys"), F.count_distinct("data_file_path").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_version_deltas, p1_deltas_since, p2_found, p2_compacted, p2_groups, p3_found, p3_key_stats, p3_quantiles, p4_found, p4_per_table_day, p5_found, p5_live_per_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_version_deltas, p1_deltas_since, p1_incremental, p2_found, p2_compacted, p2_groups, p2_files, p3_found, p3_key_stats, p3_quantiles, p4_found, p4_per_table_day, p5_found, p5_live_per_table)}

@@ -85,9 +85,27 @@ f AS (SELECT file_id, max(table_id) AS table_id, max(spec_id) AS spec_id, max({p
 small AS (SELECT f.*, count(*) OVER (PARTITION BY f.table_id, spec_id, partition_key, content, ids) AS k
           FROM f LEFT JOIN t ON t.table_id = f.table_id WHERE gone IS NULL AND coalesce(fmt, '') <> 'PUFFIN' AND size * 2 < coalesce(target, 16384))
 """
+# the source after all steps, from the statement of the steps: a row goes with its position, or with a delete of its key that came later
+_P1_INCREMENTAL = """
+WITH e AS (SELECT event_id, user_id, event_type, coalesce(day(ts), 1) AS day FROM events),
+b AS (SELECT event_type, user_id, max(event_id) AS event_id FROM e WHERE day BETWEEN 11 AND 20 GROUP BY 1, 2),
+c AS (SELECT event_type, user_id, max(event_id) AS event_id FROM e WHERE day >= 21 GROUP BY 1, 2),
+v AS (SELECT DISTINCT event_type, user_id FROM e WHERE event_type = 'view' AND user_id % 5 = 0),
+old AS (SELECT event_id, user_id, event_type FROM e WHERE day <= 10 AND NOT EXISTS (SELECT 1 FROM b WHERE b.event_type = e.event_type AND b.user_id = e.user_id) UNION ALL SELECT event_id, user_id, event_type FROM b),
+kept AS (SELECT * FROM old o WHERE event_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM v WHERE v.event_type = o.event_type AND v.user_id = o.user_id) AND NOT EXISTS (SELECT 1 FROM c WHERE c.event_type = o.event_type AND c.user_id = o.user_id))
+SELECT event_id, user_id, event_type FROM kept UNION ALL SELECT event_id, user_id, event_type FROM c
+"""
+
 _P2 = _P2_CTE + "SELECT file_id FROM small WHERE k >= 2"
 _P2_GROUPS = _P2_CTE + "SELECT table_id, spec_id, partition_key, content, array_to_string(ids, ',') AS equality_ids, count(*) AS files, CAST(sum(records) AS BIGINT) AS records FROM small WHERE k >= 2 GROUP BY ALL"
 
+_P2_FILES = (
+    _P2_CTE
+    + f""", fp AS (SELECT file_id, max({path('file_path')}) AS path FROM delete_files GROUP BY 1), r AS (SELECT DISTINCT row_id, table_id, {path('file_path')} AS path FROM eq_delete_rows),
+n AS (SELECT table_id, path, count(*) AS deletes FROM r GROUP BY 1, 2)
+SELECT s.table_id, count(*) AS files, CAST(sum(records) AS BIGINT) AS records, CAST(coalesce(sum(deletes), 0) AS BIGINT) AS deletes FROM small s JOIN fp USING (file_id) LEFT JOIN n ON n.table_id = s.table_id AND n.path = fp.path WHERE k >= 2 GROUP BY 1"""
+)
+
 _LONG = f"""
 WITH l AS (SELECT table_id, 'partition_key' AS key_field, {pkey()} AS key_value, * EXCLUDE (table_id) FROM index_changes
            UNION ALL SELECT table_id, 'data_file_path', {path('data_file_path')}, * EXCLUDE (table_id) FROM index_changes WHERE data_file_path IS NOT NULL)
@@ -146,7 +164,9 @@ SQL = {
     "p1_found": _P1,
     "p1_version_deltas": _P1_DELTAS,
     "p1_deltas_since": _P1_SINCE,
+    "p1_incremental": _P1_INCREMENTAL,
     "p2_found": _P2,
+    "p2_files": _P2_FILES,
     "p2_groups": _P2_GROUPS,
     "p3_found": _P3,
     "p3_key_stats": _P3_STATS,

@@ -11,4 +11,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark(tmp_path_factory):
     from rowtide.session import local_session
 
-    return local_session(4, 2, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})
+    # the inputs are tiny: compiling and re-planning each stage would take most of the time
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    return local_session(4, 2, **quick, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g"})

@@ -136,7 +136,7 @@ def test_walk_alternates_and_resumes(spark, tmp_path):
 def test_large_random_upserts_keep_the_visible_rows(spark, tmp_path):
     t, i = make(spark, tmp_path)
     rnd = np.random.default_rng(42)
-    for k in range(4):
+    for k in range(3):
         ids = rnd.integers(0, 6000, 5000)
         t.upsert(spark.createDataFrame([(int(x), f"{k}-{n}", "d") for n, x in enumerate(ids)], "id bigint, name string, dept string"), ["name"])
     before = t.visible().cache()
@@ -182,8 +182,7 @@ def convert_by_hand(t, i, meta):
     run = runs.plan_next(t, meta)
     found = i.find(engine.probes(t, meta, run))
     adds, old = delete_writers.merged(t, meta, t.files(meta), found)
-    removes = run.files.select("path", "referenced", "content").unionByName(old.select("path", "referenced", "content"))
-    return adds, removes
+    return planner.assemble(adds, run.files, old)
 
 
 def test_conflicts(spark, tmp_path):
@@ -403,7 +402,7 @@ def test_catalog_and_supervisor(spark, tmp_path):
         def idle(self, table):
             done.append("idle")
 
-    s = engine.Supervisor(spark, engine.Settings(str(root), str(tmp_path / "ix"), 0.01, 1000, 2), Seen(), said.append)
+    s = engine.Supervisor(spark, engine.Settings(str(root), str(tmp_path / "ix"), 0.01, 1000, 0, workers=2), Seen(), said.append)
     s.run(sweeps=3)
     assert [d[0] for d in done[:2]] == [1, 0] and done[2] == "idle"
     assert s.sweep() == [] and [r[0] for r in seen(a)] == [2]
@@ -414,9 +413,90 @@ def test_catalog_and_supervisor(spark, tmp_path):
 
 
 def test_settings():
-    env = {"ROWTIDE_ROOT": "/x", "ROWTIDE_POLL_SECONDS": "2", "ROWTIDE_WORKERS": "9", "ROWTIDE_EVERY_ENTRY": "true", "OTHER": "1"}
+    env = {"ROWTIDE_ROOT": "/x", "ROWTIDE_POLL_SECONDS": "2", "ROWTIDE_WORKERS": "9", "ROWTIDE_EVERY_ENTRY": "true", "OTHER": "1", "ROWTIDE_OPTION_spark_sql_ansi_enabled": "true"}
     s = engine.Settings.from_env(env)
     assert (s.root, s.poll_seconds, s.workers, s.every_entry, s.idle_seconds) == ("/x", 2.0, 9, True, 30.0)
+    assert s.options == {"spark.sql.ansi.enabled": "true"}
+
+
+def test_a_slow_table_holds_up_no_other(spark, tmp_path):
+    """Turns end on their own, listings are cached once a table, and a run over time is cancelled and taken up again."""
+    import threading
+
+    root, slow_began, release = tmp_path / "wh", threading.Event(), threading.Event()
+    slow, fast = (Table.create(spark, str(root / n), "id bigint, name string, dept string", (), PK) for n in ("slow", "fast"))
+    for k in range(2):
+        fast.append(rows(spark, k))
+        fast.write(delete_keys=keys(spark, k))
+    slow.append(rows(spark, 1))
+    done, failed = [], []
+
+    class Seen(engine.Metrics):
+        def run_done(self, table, run, seconds):
+            done.append(os.path.basename(table))
+            if done.count("fast") == 4:
+                release.set()
+
+        def run_failed(self, table, error):
+            failed.append(os.path.basename(table))
+
+    class Held:
+        def __init__(self, index):
+            self.index, self.find = index, index.find
+
+        def append(self, r):
+            slow_began.set()
+            assert release.wait(120)
+            return self.index.append(r)
+
+    def index(t):
+        i = Index.create(spark, str(tmp_path / "ix"), os.path.basename(t.path), 2)
+        return Held(i) if t.path == slow.path else i
+
+    persisted = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for t in (slow, fast):
+        t.close()
+    before = persisted()
+    s = engine.Supervisor(spark, engine.Settings(str(root), poll_seconds=0.01, idle_seconds=0, retry_seconds=0, workers=2), Seen(), lambda m: None, index)
+    runner = threading.Thread(target=s.run)
+    runner.start()
+    assert slow_began.wait(60) and release.wait(120)
+    for _ in range(600):
+        if "slow" in done and len(done) >= 5:
+            break
+        s.stop.wait(0.1)
+    s.stop.set()
+    runner.join(60)
+    assert done.index("slow") >= 4 and not failed and persisted() == before
+
+    class Stuck(engine.Metrics):
+        def run_failed(self, table, error):
+            failed.append(str(error))
+            s.stop.set()
+
+    slow.append(rows(spark, 2))
+    wait_long = F.udf(lambda x: __import__("time").sleep(60) or x, "bigint")
+
+    class Sleeps(Held):
+        def append(self, r):
+            return self.index.append(r.withColumn("pos", wait_long("pos")))
+
+    s = engine.Supervisor(spark, engine.Settings(str(root), poll_seconds=0.2, idle_seconds=100, run_seconds=4, workers=2), Stuck(), lambda m: None, lambda t: Sleeps(Index.create(spark, str(tmp_path / "ix"), "slow", 2)))
+    s.run()
+    assert len(failed) == 1 and "cancel" in failed[0].lower()
+
+
+def test_late_commits_are_detected(spark, tmp_path):
+    t, i = make(spark, tmp_path)
+    t.append(rows(spark, 1))
+    t.append(rows(spark, 2))
+    engine.process_all(t, i)
+    # a file that claims a place the walk has passed
+    file = t.files(content="data").limit(1)
+    late = file.withColumn("path", F.concat("path", F.lit(".copy"))).drop("version")
+    t.commit(t.meta(), late)
+    with pytest.raises(config.LateCommit, match="the watermark is 2"):
+        engine.process_next_run(t, i)
 
 
 def test_incremental_step(spark, tmp_path):
@@ -454,3 +534,93 @@ def test_incremental_step_carries_deletes(spark, tmp_path):
     src.write(positions=spark.createDataFrame([(path, 3)], "data_file_path string, pos bigint"))
     src.commit(src.meta(), None, src.files().where(F.col("path") == gone).select("path", "referenced", "content"))
     assert step() == [(3, "C3"), (4, "A4"), (5, "B5")]
+
+
+def test_racing_incremental_steps(spark, tmp_path):
+    """Of two steps that began from one version of the sink one succeeds, the other has a Conflict and leaves nothing."""
+    src, _ = make(spark, tmp_path)
+    out = Table.create(spark, str(tmp_path / "out"), "id bigint, name string, dept string", (), PK)
+    src.append(rows(spark, 1, 2))
+
+    def while_another_steps(df):
+        if out.meta().version == 1:
+            table_log.process_new(spark, src, Table(spark, out.path), lambda x: x)
+        return df
+
+    with pytest.raises(Conflict):
+        table_log.process_new(spark, src, out, while_another_steps)
+    assert seen(out) == seen(src) and out.meta().version == 2
+
+
+def test_scan_shuffles_no_data_rows(spark, tmp_path, monkeypatch):
+    t, _ = make(spark, tmp_path)
+    for k in range(4):
+        t.append(rows(spark, *range(10 * k, 10 * k + 10)).coalesce(1))
+    paths = [r.path for r in t.files(content="data").orderBy("path").collect()]
+    t.write(positions=spark.createDataFrame([(p, n) for p in paths[:2] for n in (0, 9)], "data_file_path string, pos bigint"))
+    before = seen(t)
+    assert len(before) == 36
+    plan = t.visible()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    # a listing over the bound is read in parts; equality deletes join
+    monkeypatch.setattr(scans, "MAP_BYTES", 500)
+    assert seen(t) == before
+    t.write(delete_keys=keys(spark, 5, 15))
+    assert seen(t) == [r for r in before if r[0] not in (5, 15)]
+
+
+def test_position_deletes_that_name_no_file(spark, tmp_path):
+    t, i = make(spark, tmp_path, 2)
+    t.append(rows(spark, 1, 2, 3).coalesce(1))
+    t.append(rows(spark, 4, 5, 6).coalesce(1))
+    paths = [r.path for r in t.files(content="data").orderBy("seq").collect()]
+    out = str(tmp_path / "loose")
+    spark.createDataFrame([(paths[0], 1), (paths[1], 2), ("gone", 0)], "file_path string, pos bigint").coalesce(1).write.parquet(out)
+    file = next(os.path.join(out, n) for n in os.listdir(out) if n.endswith("parquet"))
+    entry = spark.createDataFrame([("pos", file, "parquet", 0, "", 3)], "content string, path string, format string, spec_id int, partition_key string, records bigint")
+    t.commit(t.meta(), entry)
+    assert [r[0] for r in seen(t)] == [1, 3, 4, 5]
+    t.write(delete_keys=keys(spark, 1))
+    engine.process_all(t, i)
+    assert [r[0] for r in seen(t)] == [3, 4, 5]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "avro"])
+def test_delete_format_and_target_size(spark, tmp_path, fmt):
+    props = {**PK, config.DELETE_FORMAT: fmt, config.DELETE_TARGET: str(40 * delete_writers.POSITION_BYTES)}
+    t, i = make(spark, tmp_path, 2, props=props)
+    t.append(rows(spark, *range(100)).coalesce(1))
+    t.write(delete_keys=keys(spark, *range(0, 100, 2)))
+    before = seen(t)
+    engine.process_all(t, i)
+    assert seen(t) == before and [r[0] for r in before] == list(range(1, 100, 2))
+    files = t.files(content="pos").collect()
+    assert sorted(f.records for f in files) == [10, 40] and {f.format for f in files} == {fmt}
+    if fmt == "parquet":
+        return
+    # merged with what is there
+    t.write(delete_keys=keys(spark, 1))
+    engine.process_all(t, i)
+    assert [r[0] for r in seen(t)] == list(range(3, 100, 2)) and sum(f.records for f in t.files(content="pos").collect()) == 51
+
+
+def test_avro_blocks_and_orc_stripes_are_split(spark, tmp_path):
+    from pyarrow import orc
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    a, o = str(tmp_path / "f.avro"), str(tmp_path / "f.orc")
+    avro_file.write(a, [("id", "long")], [(n,) for n in range(1000)], block_rows=300)
+    assert [(first, n) for _, first, n in avro_file.blocks(a)] == [(0, 300), (300, 300), (600, 300), (900, 100)]
+    with orc.ORCWriter(o, stripe_size=1 << 10) as w:
+        for k in range(4):
+            w.write(pa.table({"id": pa.array(np.random.default_rng(k).integers(0, 1 << 60, 20_000))}))
+    assert orc.ORCFile(o).nstripes > 1
+    for path, fmt in ((a, "avro"), (o, "orc")):
+        got = scans.rows(spark, spark.createDataFrame([(path, fmt)], "path string, format string"), StructType.fromDDL("id bigint")).orderBy("pos").collect()
+        want = range(1000) if fmt == "avro" else orc.read_table(path)["id"].to_pylist()
+        assert [r.id for r in got] == list(want) and [r.pos for r in got] == list(range(len(want)))
+    bad = str(tmp_path / "bad.avro")
+    open(bad, "wb").write(open(a, "rb").read()[:-5])
+    with pytest.raises(ValueError):
+        list(avro_file.read(bad))

@@ -1,5 +1,6 @@
 import random
 import struct
+import zlib
 from collections import Counter
 from datetime import datetime
 from fractions import Fraction
@@ -22,7 +23,9 @@ def t(n):
 @pytest.fixture
 def hot(monkeypatch):
     """Makes small inputs count as skewed."""
-    monkeypatch.setattr(skew, "hot_buckets", lambda df, keys, share=0, least_rows=0, f=skew.hot_buckets: f(df, keys, 0.02, 5))
+    monkeypatch.setattr(skew, "ROWS", 5)
+    monkeypatch.setattr(compaction, "FRAME_ROWS", 5)
+    monkeypatch.setattr(selection, "BROADCAST_ROWS", 0)
 
 
 def test_canonical_spellings(spark):
@@ -34,12 +37,21 @@ def test_canonical_spellings(spark):
     assert [r[0] for r in ids] == [[1, 3], None, []]
 
 
-def test_hot_buckets_are_bounded_and_right(spark):
-    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    found = skew.hot_buckets(df, ["k"], least_rows=1000)
-    want = spark.range(1).select(skew.bucket([F.lit(-1).cast("bigint")])).first()[0]
-    assert found == [want]
-    assert skew.hot_buckets(df.limit(0), ["k"]) == []
+def test_hot_keys_come_from_counts(spark, monkeypatch):
+    """A key of a third and one of a 300th of all rows are both split, and no piece of any key is over the bound."""
+    monkeypatch.setattr(skew, "ROWS", 500)
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 300 == 1, -2).otherwise(F.col("id")).alias("k"), "id")
+    hot = skew.hot_keys(df, ["k"])
+    of = {r.k: r.h for r in spark.createDataFrame([(-1,), (-2,)], "k bigint").select("k", skew.key_hash(["k"]).alias("h")).collect()}
+    assert hot.by_pieces == {256: [of[-1]], 2: [of[-2]]}
+    split = df.groupBy("k", skew.piece(["k"], ["id"], hot).alias("p")).count()
+    most = {r.k: (r.n, r.most) for r in split.where("k < 0").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).collect()}
+    assert most[-1][0] == 256 and most[-2][0] == 2 and most[-1][1] < 500 * 1.2 and most[-2][1] < 600
+    assert split.where("k >= 0 and p <> 0").count() == 0
+    every = spark.createDataFrame([(-1, "a"), (-2, "b"), (5, "c"), (6, "d")], "k bigint, name string")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(tuple, skew.join(df, every, ["k"], ["id"], how).groupBy("k").count().collect()), key=str) == sorted(map(tuple, df.join(every, "k", how).groupBy("k").count().collect()), key=str)
+    assert not skew.hot_keys(df.limit(0), ["k"]) and not skew.hot_keys(df.where("k >= 0"), ["k"])
 
 
 # -- ordered lookups
@@ -227,7 +239,13 @@ def test_real_files(spark, tmp_path, kind):
         p.write_bytes(data)
         listing.append((str(p), len(data)))
     df = spark.createDataFrame(listing, "path string, length bigint")
+    stale = compaction.compact_paths(spark, df, str(tmp_path / "out"), kind, 1, 100).collect()
     out = compaction.compact_paths(spark, df, str(tmp_path / "out"), kind, 1, 300).collect()
+    assert len(stale) > len(out) and not {o.out_path for o in stale} & {o.out_path for o in out}
+    assert all(sum(m.length for m in o.members) == o.bytes for o in out)
+    crcs = [(p, n, zlib.crc32(open(p, "rb").read()) + (p.endswith("in7") and 1)) for p, n in listing]
+    with pytest.raises(Exception, match="checksum differs from the listed"):
+        compaction.compact_paths(spark, spark.createDataFrame(crcs, "path string, length bigint, crc bigint"), str(tmp_path / "out"), kind, 1, 300)
     assert 1 < len(out) < 15 and sum(o.files for o in out) == 29
     lines = Counter()
     for o in out:
@@ -323,7 +341,7 @@ def test_state_orphans(spark, hot):
     children = [(rnd.choice(["a", "a", "b", "c", None]), rnd.choice([1, 2, 3, 4, None]), i) for i in range(200)]
     c = spark.createDataFrame(children, "k string, before bigint, id int")
     s = spark.createDataFrame(changes, "k string, seq bigint, w int, live boolean").withColumn("id", F.lit(9))
-    got = sorted(r.id for r in references.state_orphans(c, s, ["k"], ["id"], "before", "seq", F.col("w"), "live").collect())
+    got = sorted(r.id for r in references.state_orphans(c, s, ["k"], ["id"], "before", "seq", F.col("w") > 0, F.col("w"), "live").collect())
     want = []
     for k, before, i in children:
         past = [(q, w, v) for a, q, w, v in changes if a == k and None not in (k, q, v, before) and q < before]
@@ -339,7 +357,7 @@ def test_state_orphans(spark, hot):
 @pytest.mark.parametrize("skewed_", [False, True])
 def test_change_feed(spark, monkeypatch, seed, skewed_):
     if skewed_:
-        monkeypatch.setattr(skew, "hot_buckets", lambda df, keys, f=skew.hot_buckets: f(df, keys, 0.02, 5))
+        monkeypatch.setattr(skew, "ROWS", 5)
     rnd = random.Random(seed)
     changes = [(None if k == 9 else k, rnd.choice([1, 2, 3, None]), rnd.choice([0, 1]), rnd.randrange(4), rnd.choice([True, True, False, None]), rnd.choice(["p", "q", None]), rnd.choice([1, None])) for _ in range(400) for k in (0 if rnd.random() < 0.4 else rnd.randrange(10),)]
     feed = changes + rnd.sample(changes, 50)
@@ -356,6 +374,23 @@ def test_change_feed(spark, monkeypatch, seed, skewed_):
     assert cdc.apply_changes(df.limit(0), ["k"], ["q", "kind", "o"], "live", ["path", "pos"]).count() == 0
 
 
+def test_stated_before_images_leave_nothing_to_derive(spark):
+    full = [(1, 1, True, "a"), (1, 2, False, None), (1, 3, True, "b"), (1, 4, False, "b"), (1, 5, True, "c"), (2, 1, True, "x"), (2, 1, True, "x")]
+    lossy = [(3, 1, True, "a"), (3, 2, True, "b"), (3, 3, False, "other"), (4, 1, False, None), (4, 2, True, "d"), (4, 3, False, None), (4, 4, False, None)]
+    count = lambda rows: Counter((r.k, r.origin) for r in cdc.signed_images(spark.createDataFrame(rows, "k int, q int, live boolean, path string"), ["k"], ["q"], "live", ["path"]).collect())
+    assert count(full) == {(1, "after"): 3, (1, "stated"): 2, (2, "after"): 1}
+    assert count(lossy) == {(3, "after"): 2, (3, "derived"): 2, (4, "after"): 1, (4, "stated"): 1}
+
+
+def test_tiny_shares_are_exact(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("g"), F.when(F.col("id") < 3, "three").when(F.col("id") < 5, "two").otherwise(F.col("id").cast("string")).alias("v"))
+    found = lambda share: sorted((r.v, r.n) for r in selection.heavy_values(rows, ["g"], "v", share).collect())
+    assert found(Fraction(1, 50_000)) == [("three", 3)] and found(0.00001) == [("three", 3), ("two", 2)]
+    for bad in (0, Fraction(1, 10**18)):
+        with pytest.raises(ValueError):
+            selection.exact_share(bad)
+
+
 # -- the queries on empty tables
 
 
