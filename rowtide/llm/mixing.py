@@ -64,22 +64,22 @@ def _node(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """mix_id, source, target_share, docs, source_tokens, copies: expected copies of each text.
+    """mix_id, source, target_share, cap, docs, source_tokens, copies: expected copies of each text.
 
     The mix is as large as the caps allow: the smallest of max_repeats * tokens
     / share over the capped sources; without caps it has as many tokens as its sources. A
-    source without tokens cannot contribute: it has no copies, and the others keep
+    source without tokens, or with a cap of 0 or less, cannot contribute: it has no copies, and the others keep
     their proportions. A share that is null or not above 0 gives no copies. Repeated
-    target rows of a source in a mix count once (the largest share and cap).
+    target rows of a source in a mix count once (the largest share and cap; no cap is the largest).
     """
     per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("source_tokens"))
-    goal = targets.groupBy("mix_id", canon.label("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1 << 30))).alias("cap"))
-    g = goal.join(per, "source", "left").withColumn("live", (F.col("target_share") > 0) & (F.col("source_tokens") > 0))
+    goal = targets.groupBy("mix_id", canon.label("source").alias("source")).agg(F.max("target_share").alias("target_share"), F.when(F.count("max_repeats") == F.count(F.lit(1)), F.max("max_repeats")).alias("cap"))
+    g = goal.join(per, "source", "left").withColumn("live", (F.col("target_share") > 0) & (F.col("source_tokens") > 0) & (F.col("cap").isNull() | (F.col("cap") > 0)))
     w = Window.partitionBy("mix_id")
-    limit = F.min(F.when(F.col("live") & (F.col("cap") < 1 << 30), F.col("cap") * F.col("source_tokens") / F.col("target_share"))).over(w)
+    limit = F.min(F.when(F.col("live") & F.col("cap").isNotNull(), F.col("cap") * F.col("source_tokens") / F.col("target_share"))).over(w)
     total = F.coalesce(limit, F.sum(F.when(F.col("live"), F.col("source_tokens"))).over(w).cast("double"))
     copies = F.when(F.col("live"), F.least(total * F.col("target_share") / F.col("source_tokens"), F.col("cap").cast("double"))).otherwise(0.0)
-    return g.select("mix_id", "source", "target_share", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), copies.alias("copies"))
+    return g.select("mix_id", "source", "target_share", "cap", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"), copies.alias("copies"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
@@ -107,8 +107,10 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         F.col("mix_id").cast("int").alias("mix_id"), "source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), nodes).alias("node"), "doc_id", "tokens",
         F.floor("copies").cast("bigint").alias("whole"), (F.col("copies") - F.floor("copies")).alias("part"), F.lit(True).alias("open"),
     )
-    state = cut(rows.groupBy("mix_id", "source", "node").applyInPandas(lambda p: _node(p, seed), STATE))
-    done, open_ = state.where("not open"), state.where("open")
+    # what comes a whole number of times has nothing to round
+    done = rows.where("part = 0").withColumn("open", F.lit(False))
+    state = cut(rows.where("part > 0").groupBy("mix_id", "source", "node").applyInPandas(lambda p: _node(p, seed), STATE))
+    done, open_ = done.unionByName(state.where("not open")), state.where("open")
     leaves = -(-most // LEAF)
     while leaves > 1:
         leaves = -(-leaves // FAN)

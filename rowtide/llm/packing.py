@@ -10,9 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces in which the items of one length are ranked.
-SLICES = 64
-
+from rowtide.operators import skew
 
 def pack_histogram(counts: Mapping[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Packing patterns: (how many items of each length, how many containers of that kind).
@@ -92,12 +90,12 @@ def pack(sizes: DataFrame, capacities: dict[int, int], item: str = "doc_id", siz
     Repeated items are placed as often as they come. Only the length
     histogram, at most the sum of the capacities, comes to the driver; items
     find their place by their rank among those of their length. Ranks are counted in
-    slices, so a length that most items share is not one task's work.
+    slices, as many as leave skew.ROWS of all pieces in each, so a length that most items share is not one task's work.
 
-    ``sizes`` is read twice; materialise it if it is costly.
+    ``sizes`` is read three times; materialise it if it is costly.
     """
     cut_ = pieces(sizes.where(F.col(size).isNotNull()), item, size, capacities)
-    cut_ = cut_.withColumn("slice", F.pmod(F.xxhash64("item", "piece"), F.lit(SLICES)))
+    cut_ = cut_.withColumn("slice", F.pmod(F.xxhash64("item", "piece"), F.lit(skew.pieces_of(cut_.count()))))
     counts = cut_.groupBy("container_kind", "length", "slice").agg(F.count(F.lit(1)).alias("n"))
     hist: dict[int, dict[int, int]] = {k: {} for k in capacities}
     for r in counts.groupBy("container_kind", "length").agg(F.sum("n").alias("n")).collect():
