@@ -73,7 +73,7 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """``df``, which should be materialised, with a broadcast hint if its measured bytes are in bounds."""
+    """``df`` with a broadcast hint if its measured bytes are in bounds; measuring runs it once."""
     return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 

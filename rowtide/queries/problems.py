@@ -57,9 +57,9 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
         def commit(self, *args, **how):
             raise OSError("killed")
 
-    def step() -> None:
+    def step(dies: bool = False) -> None:
         try:
-            process_new(spark, source, Dies(spark, sink.path), lambda df: df)
+            process_new(spark, source, Dies(spark, sink.path) if dies else sink, lambda df: df)
         except OSError:
             process_new(spark, source, sink, lambda df: df)
 
@@ -70,7 +70,7 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     head = source.meta()
     source.write(positions=source.live(source.files(head), head).where("event_id % 7 = 0").select("data_file_path", "pos"))
     source.write(delete_keys=e.where("event_type = 'view' and user_id % 5 = 0").select("user_id", "event_type"))
-    step()
+    step(dies=True)
     source.upsert(days(21, 31), ["event_id"])
     engine.process_all(source, Index.create(spark, root, "index", 8, every=True))
     step()

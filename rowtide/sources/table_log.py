@@ -308,7 +308,7 @@ class Table:
         for ids in sets:
             key = T.StructType([meta.struct[names[i - 1]] for i in ids])
             keys = scans.equality_deletes(self.spark, eq.where(F.col("field_ids") == F.array(*[F.lit(i) for i in ids])), key)
-            last = cut(keys.groupBy(F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.struct(*key.names).alias("_k")).agg(F.max("seq").alias("_dead")))
+            last = keys.groupBy(F.col("spec_id").alias("_spec"), F.col("partition_key").alias("_part"), F.struct(*key.names).alias("_k")).agg(F.max("seq").alias("_dead"))
             # any later delete is one later than the last, so one row a key decides
             same = (F.col("_f_spec_id") == F.col("_spec")) & (F.col("_f_partition_key") == F.col("_part")) & (F.struct(*key.names) == F.col("_k"))
             r = r.join(lookup.broadcast_if_small(last), same, "left").where("_dead is null or _dead <= _f_seq").drop("_dead", "_k", "_spec", "_part")
@@ -354,9 +354,10 @@ def process_new(spark: SparkSession, source: Table, sink: Table, transform, name
     if head.version == done:
         return None
     processed = source.meta(done) if done else head
-    # small, and used many times
-    now = cut(source.files(head))
-    was = cut(source.files(processed)) if done else now.limit(0)
+    # the table keeps one listing in memory: the older one is written down
+    was = cut(source.files(processed)) if done else None
+    now = source.files(head)
+    was = now.limit(0) if was is None else was
     touched = cut(_touched(spark, was, now).select(F.col("path").alias("_p")))
 
     def rows(every: DataFrame, meta: Meta) -> DataFrame:
