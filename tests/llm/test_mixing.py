@@ -66,3 +66,13 @@ def test_sources_without_texts(spark):
     none = docs(spark).limit(0)
     assert mixing.mix(none, t).count() == 0
     assert {r.actual_share for r in mixing.shares(mixing.mix(none, t), t).collect()} == {None}
+
+
+def test_a_cap_of_zero_takes_out_one_source_only(spark):
+    rows = [(i, ("a", "b", "c")[i % 3], 10 + i % 7) for i in range(3000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([(1, "a", 0.4, 0), (1, "b", 0.4, 2), (1, "c", 0.2, None)], "mix_id int, source string, target_share double, max_repeats int")
+    mixed = mixing.mix(sizes, targets)
+    got = {r.source: r for r in mixing.shares(mixed, targets).collect()}
+    assert got["A"].tokens == 0 and got["B"].most_copies == 2
+    assert abs(got["B"].tokens / (got["B"].tokens + got["C"].tokens) - 2 / 3) < 0.001
