@@ -22,18 +22,21 @@ BROADCAST_ROWS = 20_000
 
 
 def _narrowed(open_: DataFrame, hist: DataFrame, group: str, on: Sequence[str], least: str | None) -> DataFrame:
-    """Each open target with the bin that its rank falls into: lo, hi, below, n (known once the bin has one value)."""
-    w = Window.partitionBy(*on).orderBy("v0").rowsBetween(Window.unboundedPreceding, 0)
-    upto = hist.withColumn("upto", F.sum("c").over(w))
+    """Each open target with the bin that its rank falls into: lo, hi, below, n (known once the bin has one value).
+
+    Targets and bins go through one window in order of rank, so many targets and many bins of a group never meet as pairs.
+    """
+    upto = hist.withColumn("upto", F.sum("c").over(Window.partitionBy(*on).orderBy("v0").rowsBetween(Window.unboundedPreceding, 0)))
+    bins = upto.select(*on, F.col("upto").alias("_at"), F.struct("c", "v0", "v1", "upto").alias("_bin"))
+    targets = open_.select(*on, (F.col("rank") - F.col("below")).alias("_at"), F.struct(*open_.columns).alias("_target"))
+    # from the top down: the last bin seen is the first that reaches the rank
+    w = Window.partitionBy(*on).orderBy(F.col("_at").desc(), F.col("_target").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = bins.unionByName(targets, allowMissingColumns=True).withColumn("_hit", F.last("_bin", ignorenulls=True).over(w)).where("_target is not null and _hit is not null")
     rest = [c for c in open_.columns if c not in (group, "rank", "lo", "hi", "below", "n")]
-    step = (
-        open_.join(upto, list(on))
-        .where((F.col("rank") - F.col("below") <= F.col("upto")) & (F.col("rank") - F.col("below") > F.col("upto") - F.col("c")))
-        .select(
-            group, "rank", F.col("v0").alias("lo"), F.col("v1").alias("hi"), *rest,
-            (F.col("below") + F.col("upto") - F.col("c")).alias("below"),
-            F.when(F.col("v0") == F.col("v1"), F.col("c")).alias("n"), F.col("c").alias("_c"),
-        )
+    t, b = (lambda c: F.col(f"_target.{c}")), (lambda c: F.col(f"_hit.{c}"))
+    step = met.select(
+        t(group).alias(group), t("rank").alias("rank"), b("v0").alias("lo"), b("v1").alias("hi"), *[t(c).alias(c) for c in rest],
+        (t("below") + b("upto") - b("c")).alias("below"), F.when(b("v0") == b("v1"), b("c")).alias("n"), b("c").alias("_c"),
     )
     return (step if least is None else step.where(F.col("_c") >= F.col(least))).drop("_c")
 
