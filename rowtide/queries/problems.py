@@ -16,10 +16,8 @@ from rowtide.operators import cdc, compaction, manifest_diff, references, select
 from rowtide.plans import config
 from rowtide.queries.common import table
 from rowtide.session import cut, shared_dir
-from rowtide.sources.index_store import Index
 from rowtide.sources.scans import local
 from rowtide.sources.table_log import Table, process_new
-from rowtide.streaming import engine
 
 KEY = ["table_id", "spec_id", "partition_key", "pk"]
 
@@ -42,13 +40,13 @@ def p1_deltas_since(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The sink of incremental steps over a source that gets appends, upserts, position deletes, equality deletes and vectors, with a crash before a commit.
+    """The sink of incremental steps over a source that gets appends, upserts, vectors and equality deletes, with a crash before a commit.
 
-    The events are the source: days 1 to 10 appended, 11 to 20 upserted by (event_type, user_id), events divisible by 7 deleted by position, views of users
-    divisible by 5 by an equality delete, 21 to 31 upserted; then the equality deletes are converted to vectors.
+    The events are the source: days 1 to 10 appended, 11 to 20 upserted by (event_type, user_id), events divisible by 7 deleted by vectors, views of users
+    divisible by 5 by an equality delete, 21 to 31 upserted.
     """
     root = os.path.join(local(shared_dir(spark)), f"rowtide-{uuid.uuid4().hex}")
-    schema, props = "event_id bigint, user_id bigint, event_type string", {config.PRIMARY_KEYS: "user_id", config.INDEX_BUCKETS: "8"}
+    schema, props = "event_id bigint, user_id bigint, event_type string", {config.PRIMARY_KEYS: "user_id"}
     source, sink = (Table.create(spark, f"{root}/{n}", schema, ["event_type"], props) for n in ("source", "sink"))
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.coalesce(F.day("ts"), F.lit(1)).alias("_day"))
     days = lambda low, high: e.where(F.col("_day").between(low, high)).drop("_day")
@@ -72,7 +70,6 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     source.write(delete_keys=e.where("event_type = 'view' and user_id % 5 = 0").select("user_id", "event_type"))
     step(dies=True)
     source.upsert(days(21, 31), ["event_id"])
-    engine.process_all(source, Index.create(spark, root, "index", 8, every=True))
     step()
     return sink.visible()
 
