@@ -56,10 +56,14 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
             raise OSError("killed")
 
     def step(dies: bool = False) -> None:
-        try:
-            process_new(spark, source, Dies(spark, sink.path) if dies else sink, lambda df: df)
-        except OSError:
-            process_new(spark, source, sink, lambda df: df)
+        # listings are not kept in memory between steps
+        for t in [Dies(spark, sink.path), sink] if dies else [sink]:
+            try:
+                process_new(spark, source, t, lambda df: df)
+            except OSError:
+                pass
+            t.close()
+        source.close()
 
     source.append(days(1, 10))
     step()
